@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compressor, cube, decontaminate, linededup, simhash
+from . import compressor, credentials, cube, decontaminate, linededup, multiindex, passages, sanitise, simhash, warc
 from .common import table
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.recurring(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.bundles(table(spark, sf_dir, "pages"))
+
+
+def op3_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.linked(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix_sources(spark, table(spark, sf_dir, "documents"))
 
@@ -20,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.neighbours(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -28,7 +44,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality, op6_decontaminate, op8_near_duplicates, op9_line_dedup)}
+def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.sanitise(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_passages, op2_warc_bundles, op3_credentials, op4_mix_sources, op5_quality, op6_decontaminate, op7_neighbours, op8_near_duplicates, op9_line_dedup, op10_sanitise)}
 
 _LINES = """
 lines AS (

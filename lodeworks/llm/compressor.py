@@ -125,7 +125,7 @@ def features(sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
     low, toxic = (base - sizes[:, 1]) / base, (base - sizes[:, 2]) / base
     ratio = np.minimum(base / np.maximum(n, 1), 1.0)
     gain, share = np.log1p(sizes[:, 3]), sizes[:, 4] / np.maximum(np.ceil(n / _CHUNK), 1)
-    return np.stack([np.ones(len(base)), 10 * low, 10 * np.maximum(low, 0), 20 * toxic, gain, 4 * share, 10 * np.minimum(ratio, 0.5), 4 * ratio], 1)
+    return np.stack([np.ones(len(base)), 10 * low, 10 * np.maximum(low, 0), 20 * toxic, gain, 4 * share, 10 * np.minimum(ratio, 0.5), 4 * ratio, 10 * ratio * ratio], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
 
     None where there is no good document, or no bad one, to learn from.
     """
-    rows = labelled(docs, labels, per_class).orderBy("doc_id", "text").collect()
+    rows = labelled(docs, labels, per_class).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
     by = {k: [r for r in rows if r.kind == k] for k in _CLASSES}
     if not by["good"] or not (by["low"] or by["toxic"]):
         return None

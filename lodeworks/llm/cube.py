@@ -93,7 +93,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float]
     table gives no rows.
     """
     scratch = Scratch(spark)
-    count = F.when(F.trim(F.col("text")) == "", 0).otherwise(F.size(F.split(F.trim(F.col("text").cast("string")), r"\s+")))
+    count = F.size(F.filter(F.split(F.col("text").cast("string"), r"\s+"), lambda w: w != ""))
     units = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(count), F.lit(0)).cast("long").alias("tokens"))
     units = scratch.write(units.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tokens"), F.lit(1 << 52)) / F.lit(float(1 << 52))))
     totals = units.groupBy("source").agg(F.sum("tokens").alias("have"))

@@ -37,16 +37,15 @@ def _half_keys() -> F.Column:
     return F.concat(of(F.col("n")), of(F.col("n") - 1))
 
 
-def variants(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the whole line, and of it without each character; the position heads its run of equal characters."""
+def variants(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the whole line, of it without each character, and which of these head a run of equal characters."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64) + U64(1)
     n = len(c)
     total = np.zeros(n + 1, dtype=U64)
     np.cumsum(c * powers(_BASE, n), out=total[1:])
     whole = mix(total[n:] ^ U64(n << 40))
-    at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-    cut = total[at] + (total[n] - total[at + 1]) * U64(_INVERSE)
-    return whole, np.stack([at.astype(U64), mix(cut ^ U64((n - 1) << 40))])
+    cut = total[:-1] + (total[n] - total[1:]) * U64(_INVERSE)
+    return whole, mix(cut ^ U64((n - 1) << 40)), np.concatenate(([True], c[1:] != c[:-1]))
 
 
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,9 +57,11 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     parts, size = [], 0
     for b in batches:
         for line, h in zip(b.column(0).to_pylist(), b.column(1).to_numpy(), strict=True):
-            whole, (at, cut) = variants(line)
-            key = np.concatenate([mix(cut ^ mix(at + U64(0x632BE59BD9B4E019))), whole, cut]).view(np.int64)
-            parts.append((key, np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(at), 1, len(cut)]), np.full(len(key), h)))
+            whole, cut, head = variants(line)
+            # a replaced character stands at the same place in both lines; a run has one variant without one of it
+            placed = mix(cut ^ mix(np.arange(len(cut), dtype=U64) + U64(0x632BE59BD9B4E019)))
+            key = np.concatenate([placed, whole, cut[head]]).view(np.int64)
+            parts.append((key, np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(cut), 1, head.sum()]), np.full(len(key), h)))
             size += len(key)
             if size > 1 << 18:
                 yield batch(parts)

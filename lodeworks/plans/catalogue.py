@@ -266,11 +266,11 @@ def pattern_support(spark, sf_dir):
 WITH d AS (SELECT l_linestatus AS role, l_orderkey AS path, array_to_string(list(DISTINCT l_returnflag ORDER BY l_returnflag), '>') AS structure FROM lineitem GROUP BY ALL),
 sizes AS (SELECT role, count(*) AS n FROM d GROUP BY role), s AS (SELECT role, structure, count(*) AS support, min(path) AS o FROM d GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY support DESC, o) AS r FROM s)
-SELECT role, structure, support FROM t JOIN sizes USING (role) WHERE r = 1 AND support >= greatest(1, floor(0.2 * n + 0.9999))""")
+SELECT role, structure, support FROM t JOIN sizes USING (role) WHERE r = 1 AND support >= greatest(1, floor(0.1 * n + 0.9999))""")
 def modal_structure(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("role"), F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("part")).distinct()
     s = li.groupBy("role", "path").agg(F.array_sort(F.collect_list("part")).alias("structure")).withColumn("ord", F.col("path"))
-    return patterns.modal_structure(s, patterns.group_sizes(li), 0.2).select("role", F.array_join("structure", ">").alias("structure"), "support")
+    return patterns.modal_structure(s, patterns.group_sizes(li), 0.1).select("role", F.array_join("structure", ">").alias("structure"), "support")
 
 
 @query("""
@@ -300,3 +300,241 @@ def common_affix(spark, sf_dir):
 @query(f"SELECT role, array_to_string(list(path ORDER BY ord, path)[:8], ',') AS evidence FROM {_FILES} GROUP BY role")
 def role_evidence_topk(spark, sf_dir):
     return selection.evidence(files(spark, sf_dir), "role").select("role", F.array_join("evidence", ",").alias("evidence"))
+
+
+# -- the embedded source tree: its oracle rows are read off the files, not off the engine -----
+
+
+def fixture_files(spark: SparkSession) -> DataFrame:
+    from .fixture import FILES
+
+    rows = [(p, c, "source", i) for i, (p, c) in enumerate(FILES.items())]
+    return spark.createDataFrame(rows, "path string, content string, role string, ord int")
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    show = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({names})"
+
+
+def _fixture_relations(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from ..operators import extract
+
+    f = fixture_files(spark)
+    return f, f.where(F.col("path").endswith(".py")), extract.records(f.where(F.col("path").endswith(".py")))
+
+
+def gold_recall(spark, sf_dir):
+    """Recall of the gold facts, by paths alone, by symbols, and by all facts."""
+    from ..operators import extract, resolve
+    from .fixture import GOLD
+
+    f, python, r = _fixture_relations(spark)
+    gold = spark.createDataFrame([(g,) for g in GOLD], "fact string")
+    every = extract.facts(r)
+    edges = resolve.dependency_edges(r, f).select(F.format_string("dependency:%s->%s", "src", "dst").alias("fact"))
+    methods = {"path-only": python.select(F.concat(F.lit("file:"), "path").alias("fact")), "symbols": every.where("kind in ('class', 'function', 'method')").select("fact"), "semantic": every.select("fact").unionByName(edges)}
+    out = None
+    for name, facts in methods.items():
+        one = sets.compare_with_gold(facts, gold).select(F.lit(name).alias("method"), "gold", "hits", "missed", F.round("recall", 6).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dependency_edges(spark, sf_dir):
+    from ..operators import resolve
+
+    f, _, r = _fixture_relations(spark)
+    return resolve.dependency_edges(r, f)
+
+
+def config_summaries(spark, sf_dir):
+    from ..operators import config
+
+    c = config.configs(fixture_files(spark))
+    return c.select("path", "kind", F.array_join("framework_signals", ",").alias("signals"), F.array_join("entrypoints", "|").alias("entrypoints"), F.array_join(F.from_json(F.get_json_object("details", "$.dependencies"), "array<string>"), ",").alias("dependencies"))
+
+
+def diff_patches(spark, sf_dir):
+    from ..functions import text
+    from .fixture import DIFF
+
+    d = text.diffs(spark.createDataFrame([(DIFF,), (None,), ("",)], "diff string"))
+    return d.select("path", "change_type", "previous_path", F.size("hunks").alias("hunks"))
+
+
+def tolerant_json(spark, sf_dir):
+    from ..functions import text
+    from .fixture import REPLIES
+
+    r = spark.createDataFrame(list(enumerate(REPLIES)), "id int, raw string")
+    return r.select("id", text.json_object("raw").alias("object"))
+
+
+def markdown_sections(spark, sf_dir):
+    from ..functions import text
+    from .fixture import DOCUMENT
+
+    d = spark.createDataFrame([(1, DOCUMENT), (2, "no heading"), (3, "# T\nbody")], "doc int, markdown string").withColumn("m", text.markdown_document("markdown"))
+    return d.select("doc", F.col("m.title").alias("title"), F.array_join(F.transform("m.sections", lambda s: s["heading"]), ",").alias("headings"), F.col("m.error").isNotNull().alias("invalid"))
+
+
+def ungrounded_blocks(spark, sf_dir):
+    from ..functions import text
+    from .fixture import DOCUMENT, FILES
+
+    docs = spark.createDataFrame([(1, DOCUMENT), (2, "# A\n```\nMAX_LENGTH = 400\n```\n")], "doc int, markdown string")
+    held = spark.createDataFrame([(d, FILES["src/harbour/ships.py"]) for d in (1, 2)], "doc int, content string")
+    return text.violations(docs, held)
+
+
+def _register_fixture() -> None:
+    from .fixture import GOLD, PARSED
+
+    n = len(GOLD)
+    symbols = sum(g.split(":")[0] in ("class", "function", "method") for g in GOLD)
+    at = lambda name: f"src/harbour/{name}.py"
+    edges = [("__init__", "ships"), ("service", "__init__"), ("service", "ships"), ("web", "service"), ("web", "__init__"), ("cli", "web"), ("uses", "a_util")]
+    ORACLE_SQL.update({
+        "dependency_edges": _values([(at(a), at(b)) for a, b in edges], "src, dst"),
+        "gold_recall": _values([("path-only", n, 0, n, 0.0), ("symbols", n, symbols, n - symbols, round(symbols / n, 6)), ("semantic", n, n, 0, 1.0)], "method, gold, hits, missed, recall").replace("SELECT *", "SELECT method, CAST(gold AS BIGINT) AS gold, CAST(hits AS BIGINT) AS hits, CAST(missed AS BIGINT) AS missed, CAST(recall AS DOUBLE) AS recall"),
+        "config_summaries": _values([("pyproject.toml", "pyproject", "flask,pytest", "harbour.cli:start", "Flask,pytest-cov,sqlalchemy"), ("requirements.txt", "requirements", "django,flask", "", "django-filter,flask,numpy"), ("Dockerfile", "docker", "", 'ENTRYPOINT ["harbour"]|CMD ["serve"]', None)], "path, kind, signals, entrypoints, dependencies"),
+        "diff_patches": _values([("one.py", "modify", None, 2), ("new name.py", "rename", "old name.py", 0), ("gone.py", "delete", None, 1), ("fresh.py", "add", None, 1)], "path, change_type, previous_path, hunks"),
+        "tolerant_json": _values(list(enumerate(PARSED)), "id, object"),
+        "markdown_sections": _values([(1, "# Harbour", "Core Rules,Typical Patterns", False), (2, None, None, True), (3, "# T", "Body", False)], "doc, title, headings, invalid"),
+        "ungrounded_blocks": _values([(1, "made up")], "doc, block"),
+    })
+    QUERIES.update({f.__name__: f for f in (gold_recall, dependency_edges, config_summaries, diff_patches, tolerant_json, markdown_sections, ungrounded_blocks)})
+
+
+_register_fixture()
+
+
+# -- more relational operators over the driver's tables ----------------------------------------
+
+_PRICE = {"model": "m", "input_per_1m": 3.0, "output_per_1m": 15.0, "chars_per_token": 4.0}
+_CALLS = "calls AS (SELECT 'c' || conv_id AS name, sum(CASE WHEN role <> 'assistant' THEN length(text) ELSE 0 END) AS i, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS o FROM conversations GROUP BY conv_id), est AS (SELECT name, i, o, CAST(ceil(i / 4.0) AS BIGINT) AS it, CAST(ceil(o / 4.0) AS BIGINT) AS ot FROM calls), usd AS (SELECT *, round_even(it / 1000000.0::DOUBLE * 3 + ot / 1000000.0::DOUBLE * 15, 6) AS usd FROM est)"
+
+
+def _calls(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    return c.groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "assistant", n).otherwise(0)).alias("input_chars"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("output_chars")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), "input_chars", "output_chars")
+
+
+@query(f"WITH {_CALLS} SELECT name, CAST(i AS BIGINT) AS input_chars, it AS input_tokens, CAST(o AS BIGINT) AS output_chars, ot AS output_tokens, usd AS estimated_usd FROM usd")
+def cost_first_generation(spark, sf_dir):
+    from ..operators import cost
+
+    return cost.estimate(_calls(spark, sf_dir), _PRICE)
+
+
+@query(f"WITH {_CALLS} SELECT 'patch' AS strategy, count(*) AS items, CAST(sum(ceil(i * 0.45::DOUBLE)) AS BIGINT) AS input_chars, CAST(sum(ceil(it * 0.45::DOUBLE)) AS BIGINT) AS input_tokens, CAST(sum(ceil(o * 0.35::DOUBLE)) AS BIGINT) AS output_chars, CAST(sum(ceil(ot * 0.35::DOUBLE)) AS BIGINT) AS output_tokens, round_even(sum(round_even(usd * 0.4::DOUBLE, 6)), 6) AS estimated_usd FROM usd")
+def cost_incremental_patch(spark, sf_dir):
+    from ..operators import cost
+
+    return cost.total(cost.patch(cost.estimate(_calls(spark, sf_dir), _PRICE)), "patch")
+
+
+@query("WITH facts AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 400), gold AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), h AS (SELECT count(*) AS hits FROM facts JOIN gold USING (doc_id)) SELECT (SELECT count(*) FROM facts) AS emitted, (SELECT count(*) FROM gold) AS gold, hits, (SELECT count(*) FROM gold) - hits AS missed, hits / (SELECT count(*) FROM gold) AS recall FROM h")
+def gold_comparison(spark, sf_dir):
+    facts = table(spark, sf_dir, "documents").where("n_chars > 400").select(F.col("doc_id").cast("string").alias("fact"))
+    return sets.compare_with_gold(facts, table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("fact")))
+
+
+@query("""
+WITH a AS (SELECT 's' || l_suppkey AS id, 'p' || l_partkey AS src FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT id, array_to_string(list(src ORDER BY src), ',') AS importers FROM (SELECT * FROM a UNION SELECT * FROM b) u GROUP BY id""")
+def merge_reverse_dependencies(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), "l_returnflag")
+    part = lambda flag: graph.reverse_dependencies(li.where(F.col("l_returnflag") == flag))
+    return sets.merge_reverse(part("A"), part("R")).select("id", F.array_join("importers", ",").alias("importers"))
+
+
+@query("SELECT 'n' || n_nationkey AS name, n_name AS purpose, 'new' AS origin FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 'n' || n_nationkey, n_name, 'old' FROM nation WHERE n_regionkey >= 2")
+def merge_skill_index(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    old = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("purpose"), F.lit("old").alias("origin"))
+    new = n.where("n_regionkey < 2").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("purpose"), F.lit("new").alias("origin"))
+    return sets.merge_index(new, old)
+
+
+@query("SELECT DISTINCT 'n' || c_nationkey AS name FROM customer WHERE c_acctbal < 0 ORDER BY name")
+def affected_skills(spark, sf_dir):
+    from ..operators import impact
+
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("name"), F.col("c_name").alias("path"), "c_acctbal")
+    skills = c.groupBy("name").agg(F.collect_set("path").alias("related_paths"))
+    return impact.affected_skills(c.where("c_acctbal < 0").select("path"), skills)
+
+
+_TOKEN_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-zA-Z0-9_/.-]+'), lambda x: x <> ''))"
+
+
+@query(f"""
+WITH skills AS (SELECT r_regionkey AS skill, r_name || ' europe asia economy red' AS text FROM region), rules AS (SELECT 'p' || p_partkey AS rule, p_name || ' ' || p_type AS text, (p_size % 5) / 10.0::DOUBLE AS confidence, p_brand AS ev FROM part),
+s AS (SELECT *, {_TOKEN_SQL.format('text')} AS t, 'Brand#' || (skill + 11) AS read FROM skills), r AS (SELECT *, {_TOKEN_SQL.format('text')} AS t FROM rules),
+sc AS (SELECT CAST(skill AS VARCHAR) AS skill, rule, confidence, CAST(len(list_intersect(s.t, r.t)) + CASE WHEN ev = read THEN 5 ELSE 0 END + floor(confidence * 3) AS BIGINT) AS score FROM s, r)
+SELECT skill, rule, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY score DESC, confidence DESC, rule) AS rank FROM sc WHERE score > 0) x WHERE rank <= 8""")
+def rule_relevance(spark, sf_dir):
+    from ..operators import impact
+
+    s = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("name"), F.concat("r_name", F.lit(" europe asia economy red")).alias("text"), F.array(F.concat(F.lit("Brand#"), (F.col("r_regionkey") + 11).cast("string"))).alias("read_files"))
+    r = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("text"), ((F.col("p_size") % 5) / 10).alias("confidence"), F.array("p_brand").alias("evidence"), F.col("p_partkey").alias("ord"))
+    out = impact.relevant_rules(r, s)
+    return out.select("skill", "rule", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH s AS (SELECT DISTINCT l_partkey AS path, 's' || l_suppkey AS symbol FROM lineitem), u AS (SELECT symbol FROM s GROUP BY symbol HAVING count(DISTINCT path) = 1), n AS (SELECT c_name AS symbol, count(DISTINCT c_nationkey) AS c, min(c_nationkey) AS path FROM customer GROUP BY c_name) SELECT symbol, CAST(path AS VARCHAR) AS path FROM s JOIN u USING (symbol) UNION ALL SELECT symbol, CAST(path AS VARCHAR) FROM n WHERE c = 1")
+def symbol_resolution_unique(spark, sf_dir):
+    from ..operators import resolve
+
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("path"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("symbol"))
+    n = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("path"), F.col("c_name").alias("symbol"))
+    return resolve.unique_symbols(s.unionByName(n).distinct())
+
+
+@query("WITH w AS (SELECT p_partkey, p_name, regexp_replace(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS kebab FROM part) SELECT p_partkey, kebab, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ',') AS words FROM w")
+def text_scalars(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", P.kebab(F.concat_ws(" ", "p_type", "p_name")).alias("kebab"), F.array_join(P.unique_sorted(F.split("p_name", " ")), ",").alias("words"))
+
+
+@query("WITH e AS (SELECT o_custkey, list('o' || o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey) SELECT o_custkey, array_to_string(v[:3], ', ') || CASE WHEN len(v) > 3 THEN ', +' || (len(v) - 3) || ' more' ELSE '' END AS shown, CASE WHEN len(v) >= 15 THEN 'high' WHEN len(v) >= 10 THEN 'medium' ELSE 'low' END AS badge FROM e")
+def limited_lists(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    v = F.transform("k", lambda k: F.concat(F.lit("o"), k.cast("string")))
+    return o.select("o_custkey", P.join_limited(v, 3).alias("shown"), P.confidence_badge(F.size("k") / 20).alias("badge"))
+
+
+@query(f"SELECT CASE WHEN role IN ('en', 'de') THEN 'backend' WHEN role = 'fr' THEN 'quality' ELSE 'shared' END AS domain, array_to_string(list(path ORDER BY path)[:8], ',') AS evidence FROM {_FILES} GROUP BY 1")
+def domain_summary(spark, sf_dir):
+    from ..operators import blueprint
+
+    role = F.when(F.col("role") == "en", "route").when(F.col("role") == "de", "model").when(F.col("role") == "fr", "test").otherwise("utility")
+    d = blueprint.domains(files(spark, sf_dir).withColumn("role", role))
+    return d.select("domain", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("WITH old AS (SELECT doc_id AS path, sha256(text) AS sha FROM documents WHERE lang <> 'fr'), new AS (SELECT doc_id AS path, sha256(CASE WHEN source = 'src1' THEN text || '!' ELSE text END) AS sha FROM documents) SELECT n.path, coalesce(n.sha = o.sha, false) AS reused FROM new n LEFT JOIN old o USING (path)")
+def state_reuse(spark, sf_dir):
+    from ..sources import state
+
+    d = table(spark, sf_dir, "documents")
+    saved = d.where("lang <> 'fr'").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.lit("{}").alias("summary"))
+    now = d.select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("source") == "src1", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return state.reuse(now, saved).select("path", "reused")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM r WHERE rank <= 2")
+def first_k_per_group(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    out = selection.first_k(li, ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 2)
+    return out.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH p AS (SELECT doc_id, 'src/' || lang || '/d' || doc_id || '.py' AS path FROM documents), m AS (SELECT 'src.' || lang || '.d' || doc_id AS module, 'src/' || lang || '/d' || doc_id || '.py' AS path FROM documents UNION ALL SELECT lang || '.d' || doc_id, 'src/' || lang || '/d' || doc_id || '.py' FROM documents) SELECT module, path FROM m")
+def module_index(spark, sf_dir):
+    from ..operators import resolve
+
+    d = table(spark, sf_dir, "documents").select(F.format_string("src/%s/d%d.py", "lang", "doc_id").alias("path"))
+    return resolve.module_index(d)

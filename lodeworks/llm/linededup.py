@@ -49,19 +49,19 @@ def variants(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, kind, h): kind 0 line and position, 1 whole line, 2 line without a character."""
+    """(key, kind, d, l): kind 0 line and position, 1 whole line, 2 line without a character; d and l
+    are the document and number of the line."""
     def batch(parts):
-        key, kind, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(h)], ["key", "kind", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "kind", "d", "l"])
 
     parts, size = [], 0
     for b in batches:
-        for line, h in zip(b.column(0).to_pylist(), b.column(1).to_numpy(), strict=True):
+        for line, d, n in zip(b.column(0).to_pylist(), *(c.to_numpy() for c in b.columns[1:]), strict=True):
             whole, cut, head = variants(line)
             # a replaced character stands at the same place in both lines; a run has one variant without one of it
             placed = mix(cut ^ mix(np.arange(len(cut), dtype=U64) + U64(0x632BE59BD9B4E019)))
             key = np.concatenate([placed, whole, cut[head]]).view(np.int64)
-            parts.append((key, np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(cut), 1, head.sum()]), np.full(len(key), h)))
+            parts.append((key, np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(cut), 1, head.sum()]), np.full(len(key), d), np.full(len(key), n)))
             size += len(key)
             if size > 1 << 18:
                 yield batch(parts)
@@ -97,13 +97,13 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FU
     # the text of each candidate, once, from the place where it first stands
     texts = fuzzy.alias("l").join(wanted.alias("w"), (F.col("l.h") == F.col("w.h")) & (F.col("l.h2") == F.col("w.h2")) & (F.col("l.doc_id") == F.col("w.first.doc_id")) & (F.col("l.line_no") == F.col("w.first.line_no")))
     cand = scratch.write(texts.select("l.line", "l.h", F.col("w.first").alias("first")).dropDuplicates(["h"]))
-    rows = cand.select("line", "h").mapInArrow(_variant_rows, "key long, kind byte, h long").join(cand.select("h", "first"), "h")
-    mine = lambda *k: F.when(F.col("kind").isin(*k), F.col("first"))
-    seen = rows.select("h", "first", "kind", F.min(mine(0)).over(by_key).alias("m0"), F.min(mine(1)).over(by_key).alias("m1"), F.min(mine(2)).over(by_key).alias("m2"))
-    seen = seen.select("h", "first", F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1")).alias("m"))
-    best = seen.where("m < first").groupBy("h", "first").agg(F.min("m").alias("m"))
+    rows = cand.select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows, "key long, kind byte, d long, l int")
+    mine = lambda *k: F.when(F.col("kind").isin(*k), F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")))
+    seen = rows.select("kind", F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).alias("first"), F.min(mine(0)).over(by_key).alias("m0"), F.min(mine(1)).over(by_key).alias("m1"), F.min(mine(2)).over(by_key).alias("m2"))
+    seen = seen.select("first", F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1")).alias("m"))
+    best = seen.where("m < first").groupBy("first").agg(F.min("m").alias("m"))
     # the partner's text, for the exact check
-    pairs = best.join(cand.select("h", "line"), "h").join(cand.select(F.col("first").alias("m"), F.col("line").alias("other")), "m")
+    pairs = best.join(cand.select("first", "h", "line"), "first").join(cand.select(F.col("first").alias("m"), F.col("line").alias("other")), "m")
     near = scratch.write(pairs.where(F.levenshtein("line", "other", 1) == 1).select("h", "first", F.col("m").alias("near")))
     partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near").where("near is not null or first <> last")
     found = lines.select("doc_id", "line_no", "h", "h2", "n").distinct().join(partner, ["h", "h2", "n"])

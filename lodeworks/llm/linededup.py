@@ -70,6 +70,29 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch(parts)
 
 
+def _sieve(spark: SparkSession, keys: DataFrame, most: int = 1 << 22):
+    """A predicate that holds for every value of ``keys`` (column h) and for few others.
+
+    A bitmap of 16 bits a key, built from the words that have bits, goes to the executors: 8 MB at
+    most. With more than ``most`` keys the predicate lets everything through; whoever uses it
+    still joins with the keys, so only the amount that is shuffled differs.
+    """
+    n = keys.count()
+    if n > most:
+        return lambda h: F.lit(True)
+    bits = 1 << max(10, (16 * n).bit_length())
+    spots = keys.select(F.pmod("h", F.lit(bits)).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    bitmap = np.zeros(bits >> 6, dtype=np.int64)
+    bitmap[spots["w"].to_numpy()] = spots["v"].to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def may_hold(h: pa.Array) -> pa.Array:
+        b = h.to_numpy() & (bits - 1)
+        return pa.array((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return F.arrow_udf(may_hold, "boolean")
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     """Every line that has an earlier one at most one edit away.
 
@@ -93,9 +116,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FU
     by_key = Window.partitionBy("key")
     halves = fuzzy.select("h", F.explode(F.array_distinct(_half_keys())).alias("key"))
     shared = halves.select("h", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi")).where("lo <> hi").select("h").distinct()
-    wanted = firsts.join(shared, "h", "left_semi").select("h", "h2", "first")
+    wanted = scratch.write(firsts.join(shared, "h", "left_semi").select("h", "h2", "first"))
     # the text of each candidate, once, from the place where it first stands
-    texts = fuzzy.alias("l").join(wanted.alias("w"), (F.col("l.h") == F.col("w.h")) & (F.col("l.h2") == F.col("w.h2")) & (F.col("l.doc_id") == F.col("w.first.doc_id")) & (F.col("l.line_no") == F.col("w.first.line_no")))
+    may_hold = _sieve(spark, wanted.select("h"))
+    texts = fuzzy.where(may_hold("h")).alias("l").join(wanted.alias("w"), (F.col("l.h") == F.col("w.h")) & (F.col("l.h2") == F.col("w.h2")) & (F.col("l.doc_id") == F.col("w.first.doc_id")) & (F.col("l.line_no") == F.col("w.first.line_no")))
     cand = scratch.write(texts.select("l.line", "l.h", F.col("w.first").alias("first")).dropDuplicates(["h"]))
     rows = cand.select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows, "key long, kind byte, d long, l int")
     mine = lambda *k: F.when(F.col("kind").isin(*k), F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")))
@@ -106,9 +130,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FU
     pairs = best.join(cand.select("first", "h", "line"), "first").join(cand.select(F.col("first").alias("m"), F.col("line").alias("other")), "m")
     near = scratch.write(pairs.where(F.levenshtein("line", "other", 1) == 1).select("h", "first", F.col("m").alias("near")))
     partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near").where("near is not null or first <> last")
-    found = lines.select("doc_id", "line_no", "h", "h2", "n").distinct().join(partner, ["h", "h2", "n"])
+    found = lines.select("doc_id", "line_no", "h", "h2", "n").join(partner, ["h", "h2", "n"])
     found = found.select("doc_id", "line_no", F.coalesce("near", "first").alias("p"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits"), spot.alias("own"))
-    return found.where("p < own").select("doc_id", "line_no", F.col("p.doc_id").alias("first_doc_id"), F.col("p.line_no").alias("first_line_no"), "edits")
+    return found.where("p < own").select("doc_id", "line_no", F.col("p.doc_id").alias("first_doc_id"), F.col("p.line_no").alias("first_line_no"), "edits").distinct()
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

@@ -19,7 +19,7 @@ __all__ = ["__version__", *_WHERE]
 
 def __getattr__(name: str):
     if name not in _WHERE:
-        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+        raise AttributeError(name)
     return getattr(import_module(f"{__name__}.{_WHERE[name]}"), name)
 
 

@@ -16,15 +16,14 @@ def parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("root", nargs="?", default=".")
         s.add_argument("--output", default=env("OUTPUT", ".lodeworks"))
-        s.add_argument("--mode", choices=("full", "incremental", "auto"), default=env("MODE", mode))
+        s.add_argument("--mode", choices=tuple("auto full incremental".split()), default=env("MODE", mode))
         s.add_argument("--base", default=env("BASE"))
         s.add_argument("--head", default=env("HEAD"))
         s.add_argument("--diff-file", default=env("DIFF_FILE"))
-        s.add_argument("--max-files", type=int, default=int(env("MAX_FILES", "40")))
-        s.add_argument("--max-kb", type=int, default=int(env("MAX_KB", "256")))
-        s.add_argument("--max-chars", type=int, default=int(env("MAX_CHARS", "120000")))
+        for limit, value in (("files", 40), ("kb", 256), ("chars", 120_000)):
+            s.add_argument(f"--max-{limit}", type=int, default=int(env(f"MAX_{limit.upper()}", str(value))))
         s.add_argument("--pricing", default=env("PRICING"))
-        s.add_argument("--provider", choices=("openai", "claude", "qwen"))
+        s.add_argument("--provider", choices=tuple("qwen claude openai".split()))
         s.add_argument("--model", default=env("MODEL", ""))
     a = sub.add_parser("adapt")
     a.add_argument("root", nargs="?", default=".")
@@ -37,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv=None) -> int:
     """0 done, 1 failed, 2 bad arguments, 130 interrupted."""
     try:
         given = vars(parser().parse_args(argv))

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FENCE = re.compile(r"```[^\n]*\n(.*?)```", re.S)
+_FENCED = r"(?s)`{3}[^\n]*\n(.*?)`{3}"
+FENCE = re.compile(_FENCED)
 EMOJI = re.compile("[\U0001f1e6-\U0001f1ff\U0001f300-\U0001faff☀-➿️]")
 UPDATED = "<!-- UPDATED -->"
 UNSURE = "- [Needs confirmation] "
@@ -63,7 +64,7 @@ def json_candidates(raw: str) -> list[str]:
     """What in a reply may be the object: all of it, fenced blocks, balanced braces, each also
     without a leading ``json`` and without trailing commas."""
     text = raw.lstrip("\ufeff").strip()
-    blocks = [text, *re.findall(r"```(?:json)?\s*([\s\S]*?)```", text, re.I), *balanced_objects(text)]
+    blocks = [text, *re.findall(r"(?is)`{3}(?:json)?\s*(.*?)`{3}", text), *balanced_objects(text)]
     bare = lambda s: re.sub(r"(?i)\Ajson\b\s*", "", s.strip())
     return list(dict.fromkeys(v.strip() for b in blocks for v in (b, bare(b), without_trailing_commas(b), without_trailing_commas(bare(b))) if v.strip()))
 
@@ -126,7 +127,7 @@ def parse_document(markdown: str) -> tuple[str, str, list[tuple[str, str]]]:
     heads = [i for i, line in enumerate(lines) if line.startswith("## ")]
     if not heads:
         body = "\n".join(lines).strip()
-        return title.strip(), body, [("Body", f"## Body\n{body}".strip())]
+        return title.strip(), body, [("Body", "\n".join(["## Body", *filter(None, [body])]))]
     cuts = [*heads, len(lines)]
     return title.strip(), "\n".join(lines[: heads[0]]).strip(), [(lines[a][3:].strip(), "\n".join(lines[a:b]).strip()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -140,7 +141,7 @@ def update_sections(document: str, updates: list[dict]) -> str:
     title, preamble, sections = parse_document(document)
     new = {}
     for u in updates:
-        heading, content = str(u.get("heading", "")).strip(), str(u.get("content", "")).strip()
+        heading, content = (str(u.get(k, "")).strip() for k in ("heading", "content"))
         if heading not in {h for h, _ in sections}:
             raise ValueError(f"no section has the heading {heading!r}")
         body = re.sub(r"\A## [^\n]*\n?", "", content).replace(UPDATED, "").strip()
@@ -150,13 +151,13 @@ def update_sections(document: str, updates: list[dict]) -> str:
 
 def ungrounded(markdown: str, contexts: list[str]) -> list[str]:
     """Fenced blocks that no context holds as they are."""
-    known = [c.replace("\r\n", "\n") for c in contexts]
+    known = ["\n".join(c.split("\r\n")) for c in contexts]
     return [b.strip() for b in FENCE.findall(markdown) if b.strip() and not any(b.strip() in c for c in known)]
 
 
 def snippets(content: str, python: bool, most: int = 2, lines: int = 12) -> list[str]:
     """The first definitions of a file, cut to some lines; else its first non-blank lines."""
-    text = content.replace("\r\n", "\n").strip("\n")
+    text = re.sub("\r\n", "\n", content).strip("\n")
     rows = text.splitlines()
     try:
         defs = [n for n in ast.parse(text).body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))] if python else []
@@ -235,7 +236,7 @@ def violations(documents: DataFrame, contexts: DataFrame) -> DataFrame:
     documents (doc, markdown), contexts (doc, content): blocks meet the contexts of their own
     document only, by an equi-join on doc.
     """
-    found = documents.select("doc", F.explode(F.regexp_extract_all("markdown", F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))).alias("raw"))
+    found = documents.select("doc", F.explode(F.regexp_extract_all("markdown", F.lit(_FENCED), F.lit(1))).alias("raw"))
     blocks = found.select("doc", F.regexp_replace("raw", r"\A\s+|\s+\z", "").alias("block")).where("block <> ''").distinct()
     held = blocks.join(contexts.select("doc", F.replace("content", F.lit("\r\n"), F.lit("\n")).alias("c")), "doc").where(F.col("c").contains(F.col("block"))).select("doc", "block").distinct()
     return blocks.join(held, ["doc", "block"], "left_anti")
@@ -258,7 +259,7 @@ def parse_diff(raw: str) -> list[dict]:
     """Patches (PATCH) of a unified diff; text before the first file header is skipped."""
     blocks: list[list[str]] = []
     for line in raw.splitlines():
-        if line.startswith("diff --git "):
+        if line[:11] == "diff --git ":
             blocks.append([])
         if blocks:
             blocks[-1].append(line)
@@ -274,10 +275,8 @@ def _patch(lines: list[str]) -> dict | None:
         if head:
             name = line[len(head) :].split("\t", 1)[0].strip()
             side[heads[head]] = (name[2:] if head in ("--- ", "+++ ") and name[:2] in ("a/", "b/") else name) or None
-        elif line.startswith("new file mode "):
-            change = "add"
-        elif line.startswith("deleted file mode "):
-            change = "delete"
+        elif mode := re.match(r"(new|deleted) file mode ", line):
+            change = {"new": "add", "deleted": "delete"}[mode[1]]
         elif line.startswith("@@"):
             hunks.append({"header": line, "lines": [line]})
         elif hunks:
@@ -286,7 +285,7 @@ def _patch(lines: list[str]) -> dict | None:
     if change == "modify" and old and new and old != new:
         change = "rename"
     path = new or old
-    return {"path": path, "change_type": change, "previous_path": old if old != path else None, "patch": "\n".join(lines).rstrip() + "\n", "hunks": hunks} if path else None
+    return {"path": path, "change_type": change, "previous_path": old if old != path else None, "hunks": hunks, "patch": "\n".join([*lines]).rstrip() + "\n"} if path else None
 
 
 def diffs(texts: DataFrame, column: str = "diff") -> DataFrame:

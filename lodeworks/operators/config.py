@@ -49,8 +49,8 @@ def _pyproject(text: pa.Array) -> pa.Array:
         listed = project.get("dependencies")
         names = [d for d in (listed if isinstance(listed, list) else []) if isinstance(d, str)]
         scripts = (v for v in table(project.get("scripts")).values() if v and not isinstance(v, dict))
-        name = project.get("name") or poetry.get("name")
-        return {"name": None if name is None else str(name), "dependencies": [*names, *map(str, table(poetry.get("dependencies")))], "scripts": sorted(map(str, scripts)), "error": None}
+        named = [str(t["name"]) for t in (project, poetry) if t.get("name")]
+        return {"name": named[0] if named else None, "dependencies": [*names, *map(str, table(poetry.get("dependencies")))], "scripts": sorted(map(str, scripts)), "error": None}
 
     s = pa.string()
     return pa.array([one(t) for t in text.to_pylist()], pa.struct([("name", s), ("dependencies", pa.list_(s)), ("scripts", pa.list_(s)), ("error", s)]))

@@ -60,26 +60,29 @@ def _names(target: ast.AST) -> list[str]:
     return []
 
 
-def _annotation(node: ast.AST | None) -> list[str]:
-    return [_text(x) for x in ast.walk(node) if isinstance(x, (ast.Name, ast.Attribute))] if node is not None else []
+def _annotation(shown: ast.AST | None) -> list[str]:
+    parts = ast.walk(shown) if shown is not None else ()
+    return [_text(x) for x in parts if isinstance(x, (ast.Attribute, ast.Name))]
 
 
-def _origin(node: ast.AST | None) -> str:
-    match node:
+def _origin(value: ast.AST | None) -> str:
+    match value:
         case ast.Call(func=f):
             return _callee(f)
-        case ast.Name() | ast.Attribute() | ast.Subscript():
-            return _text(node)
-        case ast.List() | ast.Tuple() | ast.Set() | ast.Dict():
-            return type(node).__name__.lower()
-    return ""
+        case ast.Subscript() | ast.Attribute() | ast.Name():
+            return _text(value)
+        case ast.Dict() | ast.Set() | ast.Tuple() | ast.List():
+            kind = type(value).__name__
+            return kind.lower()
+        case _:
+            return ""
 
 
 def _distinct(items) -> list[str]:
     return sorted({x for x in items if x})
 
 
-def _signals(root: ast.AST) -> dict[str, list[str]]:
+def _signals(root: ast.AST) -> dict:
     """Calls, raises, type references and dynamic imports anywhere below a node."""
     calls, raises, types, dynamic = set(), set(), set(), set()
     for n in ast.walk(root):

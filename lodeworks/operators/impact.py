@@ -15,7 +15,7 @@ def full_rebuild_trigger(path):
     return P.name(p).isin("Dockerfile", "requirements.txt", "pyproject.toml") | P.matches_glob(p, V.CONFIG_GLOBS) | (P.name(p).isin(*V.HIGH_VALUE_NAMES) & ~p.contains("/"))
 
 
-def choose_mode(requested: str, changed: DataFrame, has_state: bool, is_repository: bool, has_diff: bool = False, most: int = 64, full_on_config: bool = True) -> tuple[str, list[str]]:
+def choose_mode(requested: str, changed: DataFrame, has_state: bool, is_repository: bool, has_diff: bool = False, most: int = 64, full_on_config: bool = True) -> tuple:
     """('full' | 'incremental', reason codes)."""
     if requested == "full":
         return "full", []

@@ -44,6 +44,7 @@ def content_role(r: Column | None = None) -> Column:
     )
 
 
+_BOOSTS = dict(utility=8, model=16, service=18, entrypoint=20, route=25)
 _SIGNALS = {"route": "route definitions", "service": "service methods", "model": "model/schema", "entrypoint": "main guard", "utility": "exported helpers"}
 
 
@@ -52,7 +53,7 @@ def content_reason(role: Column) -> Column:
 
 
 def content_boost(role: Column) -> Column:
-    base = F.coalesce(*[F.when(role == k, F.lit(v)) for k, v in {"entrypoint": 20, "route": 25, "service": 18, "model": 16, "utility": 8}.items()], F.lit(0))
+    base = F.coalesce(*[F.when(role == k, F.lit(v)) for k, v in _BOOSTS.items()], F.lit(0))
     n = lambda c, cap: F.least(F.size(c), F.lit(cap))
     density = n("call_targets", 8) + n("type_references", 4) + n("data_flow_edges", 4) + F.size("dynamic_imports") * 2 + F.when(F.size("raised_exceptions") > 0, 1).otherwise(0)
     return base + F.least(density, F.lit(12))

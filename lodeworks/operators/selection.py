@@ -62,7 +62,7 @@ def core_modules(ranked: list[DataFrame], cap: int = 16) -> DataFrame:
     return first.select("path", "m.source", "m.pos").orderBy("source", "pos", "path").limit(cap)
 
 
-ROLE_ORDER = {"entrypoint": 0, "route": 1, "service": 2, "model": 3, "source": 4, "utility": 5}
+ROLE_ORDER = {role: n for n, role in enumerate("entrypoint route service model source utility".split())}
 
 
 def module_key(records: DataFrame) -> list[Column]:

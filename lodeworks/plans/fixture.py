@@ -46,14 +46,16 @@ diff --git a/gone.py b/gone.py
 deleted file mode 100644
 --- a/gone.py
 +++ /dev/null
-@@ -1 +0,0 @@
+@@ -1,2 +0,0 @@
 -x
+-z
 diff --git a/fresh.py b/fresh.py
 new file mode 100644
 --- /dev/null
 +++ b/fresh.py
-@@ -0,0 +1 @@
+@@ -0,0 +1,2 @@
 +y
++w
 """
 
 REPLIES = ['Here: {"a": 1}', "```json\n{\"a\": [1, 2,], \"b\": \"x,}\",}\n```", "json {\"k\": {\"n\": null}}", "nothing", "[1, 2]", '﻿{"t": "a \\" } b"} tail {"u": 2}']

@@ -260,7 +260,7 @@ def save_state(o: Options, a: Analysis, index: DataFrame, edges: DataFrame, chos
     rows = files.select("path", "sha256", "language", "role", "base_priority", "priority", "size_bytes", "char_count", "selected", "gitignored", "summary").orderBy("path").collect()
     ignore = os.path.join(o.root, ".gitignore")
     state.save(o.state_path, {
-        "version": 1, "generated_at": datetime.now(timezone.utc).isoformat(), "repo_root": os.path.realpath(o.root), "head_commit": git.head(o.root), "selected_paths": chosen,
+        "version": 1, "repo_root": os.path.realpath(o.root), "selected_paths": chosen, "head_commit": git.head(o.root), "generated_at": f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%S+00:00}",
         "directory_counts": {r.folder: r["count"] for r in a.files.groupBy(P.parent("path").alias("folder")).count().collect()},
         "gitignore_patterns": open(ignore, encoding="utf-8", errors="ignore").read().splitlines() if os.path.exists(ignore) else [],
         "discovery_method": a.method, "candidate_count": len(rows), "total_chars": sum(r.char_count for r in rows if r.selected), "bytes_read": sum(r.size_bytes for r in rows),

@@ -9,13 +9,16 @@ import subprocess
 from ..functions.text import parse_diff
 
 
+_DIFF = "diff --diff-filter=ACDMR --unified=3".split()
+
+
 def _git(root: str, *args: str) -> str | None:
     run = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, errors="ignore", check=False)
     return run.stdout if run.returncode == 0 else None
 
 
 def is_repository(root: str) -> bool:
-    return (_git(root, "rev-parse", "--is-inside-work-tree") or "").strip() == "true"
+    return "true" in (_git(root, *"rev-parse --is-inside-work-tree".split()) or "")
 
 
 def head(root: str) -> str | None:
@@ -27,21 +30,21 @@ def _paths(out: str | None) -> list[str]:
 
 
 def files(root: str) -> list[str]:
-    return [p for p in _paths(_git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard")) if os.path.isfile(os.path.join(root, p))]
+    return [p for p in _paths(_git(root, *"ls-files -z --exclude-standard --others --cached".split())) if os.path.isfile(os.path.join(root, p))]
 
 
 def untracked(root: str) -> list[str]:
-    return _paths(_git(root, "ls-files", "-z", "--others", "--exclude-standard"))
+    return _paths(_git(root, *"ls-files -z --exclude-standard --others".split()))
 
 
 def diff(root: str, base: str, head_ref: str = "HEAD", merge_base: bool = True) -> list[dict]:
     """Patches between two commits, by default from where they parted."""
-    return parse_diff(_git(root, "diff", "--unified=3", "--diff-filter=ACMRD", f"{base}{'...' if merge_base else '..'}{head_ref}") or "")
+    return parse_diff(_git(root, *_DIFF, f"{base}{'...' if merge_base else '..'}{head_ref}") or "")
 
 
 def worktree_diff(root: str, base: str) -> list[dict]:
     """Patches of the work tree against a commit, with untracked files as additions, in order of path."""
-    tracked = parse_diff(_git(root, "diff", "--unified=3", "--diff-filter=ACMRD", base) or "")
+    tracked = parse_diff(_git(root, *_DIFF, base) or "")
     known = {p["path"] for p in tracked}
     return sorted(tracked + [addition(root, p) for p in untracked(root) if p not in known], key=lambda p: p["path"])
 

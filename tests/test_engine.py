@@ -117,7 +117,7 @@ def test_json_and_markdown():
     assert text.parse_json_object("no", repair=lambda p: asked.append(p) or '{"a": 1}', key="a") == {"a": 1} and '"a"' in asked[0]
     with pytest.raises(ValueError, match="ctx"):
         text.parse_json_object("[1]", context="ctx")
-    new = text.update_sections(fixture.DOCUMENT, [{"heading": "Core Rules", "content": "## Core Rules\n- new"}])
+    new = text.update_sections(fixture.DOCUMENT, [dict(content="## Core Rules\n- new", heading="Core Rules")])
     assert text.UPDATED in new and "- new" in new and "Typical Patterns" in new
     with pytest.raises(ValueError, match="Nope"):
         text.update_sections(fixture.DOCUMENT, [{"heading": "Nope", "content": "x"}])
@@ -200,7 +200,7 @@ class Scripted:
         if prompt.startswith("Plan"):
             return '```json\n{"skills": [{"name": "Ships!", "title": "Ships", "scope": "s", "why": "w", "read_files": ["src/harbour/ships.py", "no.py"],}]}\n```'
         if prompt.startswith("Update"):
-            return '{"updated_sections": [{"heading": "Core Rules", "content": "- longer ships pass"}]}'
+            return json.dumps({"updated_sections": [dict(content="- longer ships pass", heading="Core Rules")]})
         return "# Ships\n\n## Core Rules\n- Follow best practices\n- Ships over 400 m raise\n\n## Typical Patterns\n```python\ninvented()\n```\n"
 
 

@@ -107,26 +107,32 @@ def cluster_names(cluster: DataFrame) -> DataFrame:
 def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(id, rank) after a fixed number of rounds; the mass of nodes without edges spreads evenly.
 
-    The adjacency (dst, src, out-degree of src) is written once; each round is one join and one
-    aggregation, and its ranks are a small table in the shared folder.
+    A round adds the same amount to every node and damps what flows along edges, so the ranks are a
+    combination of the vectors M^k 1, M being the flow matrix. These need no total of the round
+    before: each is one join and one aggregation of what is not zero yet, and the walk ends early
+    where a vector vanishes. The amounts follow on the driver from one sum a vector.
     """
     scratch = Scratch(spark)
     out = edges.groupBy(F.col("src").alias("s")).agg(F.count("*").alias("out"))
     links = scratch.write(edges.join(out, F.col("src") == F.col("s")).select("src", "dst", "out"))
-    sinks = nodes.join(out.select(F.col("s").alias("id")), "id", "left_anti").withColumn("sink", F.lit(True))
-    state = scratch.write(nodes.join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink")))
+    state = scratch.write(nodes.select("id").distinct().join(links.select(F.col("src").alias("id")).distinct().withColumn("flows", F.lit(True)), "id", "left"))
     n = state.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    ranks = scratch.write(state.withColumn("rank", F.lit(1.0 / n)))
+    now = state.select("id", F.lit(1.0).alias("v"))
+    vectors = now.select("id", F.lit(0).alias("k"), "v")
+    for k in range(1, rounds + 1):
+        now = scratch.write(links.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("v") / F.col("out")).alias("v")))
+        if now.isEmpty():
+            break
+        vectors = vectors.unionByName(now.select("id", F.lit(k).alias("k"), "v"))
+    sunk = dict(vectors.join(state.where("flows is null"), "id", "left_semi").groupBy("k").agg(F.sum("v")).collect())
+    weights = [1 / n]
     for _ in range(rounds):
-        spread = ranks.agg(F.sum(F.when(F.col("sink"), F.col("rank")))).first()[0] or 0.0
-        base = (1 - damping) / n + damping * spread / n
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        after = scratch.write(state.join(given, "id", "left").select("id", "sink", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")))
-        scratch.drop(ranks)
-        ranks = after
-    return ranks.select("id", "rank")
+        lost = sum(w * sunk.get(k, 0.0) for k, w in enumerate(weights))
+        weights = [(1 - damping) / n + damping * lost / n, *(damping * w for w in weights)]
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("k") + 1)
+    return vectors.groupBy("id").agg(F.sum(weight * F.col("v")).alias("rank"))
 
 
 def reachable_from(spark: SparkSession, seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:

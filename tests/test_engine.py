@@ -283,3 +283,29 @@ def test_surface():
         lodeworks.nothing
     assert cli.main(["nonsense"]) == 2 and cli.main(["--help"]) == 0
     assert cli.main(["adapt", "/nowhere"]) == 1
+
+
+def test_pagerank_against_plain_rounds(spark):
+    from lodeworks.operators import graph
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("a", "e"), ("f", "e")]
+    names = sorted({x for p in pairs for x in p} | {"alone"})
+    rank = {n: 1 / len(names) for n in names}
+    for _ in range(20):
+        out = {n: [d for s, d in pairs if s == n] for n in names}
+        lost = sum(rank[n] for n in names if not out[n])
+        rank = {n: 0.15 / len(names) + 0.85 * (lost / len(names) + sum(rank[s] / len(out[s]) for s in names if n in out[s])) for n in names}
+    got = graph.pagerank(spark, spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(pairs, "src string, dst string"))
+    assert {r.id: round(r["rank"], 12) for r in got.collect()} == {n: round(v, 12) for n, v in rank.items()}
+
+
+def test_components_and_cluster_names(spark):
+    from lodeworks.operators import graph
+
+    pairs = [(f"p/x/n{i:02}", f"p/x/n{i + 1:02}") for i in range(12)] + [("q/a", "r/b")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = graph.nodes_of(e).unionByName(spark.createDataFrame([("lone",)], "id string"))
+    got = graph.components(spark, nodes, e)
+    assert {r.root for r in got.collect()} == {"p/x/n00", "q/a", "lone"}
+    named = graph.cluster_names(graph.clusters(got)).orderBy("cluster").collect()
+    assert [(len(r.files), r.name) for r in named] == [(13, "p/x"), (2, "q")]

@@ -100,17 +100,24 @@ def _pieces(text: str, spans: list[tuple[int, int, str]], by) -> Iterator[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n): in how many rows of the batch each word stands."""
+    """(term, n): in how many rows each word stands, part by part of the batches."""
+
+    def counted(seen: list[np.ndarray]) -> pa.RecordBatch:
+        term, n = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+
     for b in batches:
-        seen = []
+        seen: list[np.ndarray] = []
         for w in words(b.column(0)):
             # a pair of row and word, once each
             order = np.lexsort((w.hash, w.row)) if len(w.hash) else np.zeros(0, np.int64)
             h, r = w.hash[order], w.row[order]
             seen.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))] if len(h) else h)
+            if sum(map(len, seen)) > 1_000_000:  # sorting more at once takes memory and hardly shortens the result
+                yield counted(seen)
+                seen = []
         if seen:
-            term, n = np.unique(np.concatenate(seen), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+            yield counted(seen)
 
 
 def generalise(word: str) -> str:

@@ -116,7 +116,11 @@ def rules(records: DataFrame) -> DataFrame:
     both = found.select("role", "kind", "feature", "coverage", "evidence").unionByName(shape.select("role", F.lit("structure").alias("kind"), F.array_join("structure", " -> ").alias("feature"), "coverage", F.array().cast("array<string>").alias("evidence")))
     n = patterns.numbered(both)
     out = n.select(F.concat_ws("-", "role", "number").alias("name"), F.concat(F.lit("Most "), F.col("role"), F.lit(" files share the "), F.col("kind"), F.lit(" "), F.col("feature")).alias("text"), F.slice("evidence", 1, 8).alias("evidence"), F.col("coverage").alias("confidence"))
-    return out.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("confidence"), "name")))
+    stems = records.select("role", "path", "ord", P.stem("path").alias("name"))
+    styled = patterns.naming(stems).unionByName(patterns.naming(stems.withColumn("role", F.lit("repository"))).withColumn("coverage", F.least("coverage", F.lit(0.5))))
+    affix = F.concat(F.when(F.col("prefix") != "", F.concat(F.lit(", beginning with "), F.col("prefix"))).otherwise(""), F.when(F.col("suffix") != "", F.concat(F.lit(", ending in "), F.col("suffix"))).otherwise(""))
+    named = styled.select(F.concat_ws("-", "role", F.lit("naming")).alias("name"), F.concat(F.lit("Most "), F.col("role"), F.lit(" files are named in "), F.col("case_style"), affix).alias("text"), F.col("examples").alias("evidence"), F.col("coverage").alias("confidence"))
+    return out.unionByName(named).withColumn("ord", F.row_number().over(Window.orderBy(F.desc("confidence"), "name")))
 
 
 def describe(spark: SparkSession, a: Analysis) -> dict:

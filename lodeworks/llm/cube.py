@@ -125,4 +125,5 @@ def draw(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """
     taken = Scratch(spark).write(mix_sources(spark, docs, **options).where("selected").groupBy(F.col("doc_id").alias("__taken")).agg(F.max("inclusion").alias("__inclusion")))
     name = "inclusion" if "inclusion" not in {c.lower() for c in docs.columns} else "mix_inclusion"
-    return docs.join(taken, docs["doc_id"].cast("long") == taken["__taken"]).select(*[docs[c] for c in docs.columns], F.col("__inclusion").alias(name))
+    # what is taken grows with the corpus, so it is never broadcast: one plan at every size
+    return docs.join(taken.hint("shuffle_hash"), docs["doc_id"].cast("long") == taken["__taken"]).select(*[docs[c] for c in docs.columns], F.col("__inclusion").alias(name))

@@ -143,7 +143,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, **options) -> Data
     """
     found = repeated_lines(spark, docs, **options)
     cut = Scratch(spark).write(found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__cut")))
-    joined = docs.join(cut, docs["doc_id"].cast("long") == cut["__doc"], "left")
+    # decisions grow with the corpus, so they are never broadcast: one plan at every size, hashing them by document
+    joined = docs.join(cut.hint("shuffle_hash"), docs["doc_id"].cast("long") == cut["__doc"], "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__cut", i))
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     joined = joined.withColumn("__text", text).where(F.col("__cut").isNull() | (F.trim("__text") != ""))

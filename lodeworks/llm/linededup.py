@@ -1,4 +1,4 @@
-"""Line dedup by deletion neighbourhoods: lines one edit apart share a hashed variant."""
+"""Line dedup: lines one edit apart share a hashed deletion variant, lines of more edits an intact segment."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from .tokens import _BASE, _INVERSE, U64, mix, powers
 
 #: Lines of fewer characters are compared exactly: one edit changes too much of them.
 MIN_FUZZY = 20
+#: Edits two lines may be apart, at most: one for every MIN_FUZZY characters of the shorter, up to this.
+EDITS = 3
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -37,6 +39,34 @@ def _half_keys() -> F.Column:
     return F.concat(of(F.col("n")), of(F.col("n") - 1))
 
 
+def _segment_keys(edits: int, min_fuzzy: int) -> tuple[list[F.Column], list[F.Column]]:
+    """Keys of a line as the shorter of two partners and as the other one, null where its length doesn't fit.
+
+    The shorter line is cut into bound + 1 segments. Of lines within the bound, one segment i stands in
+    the other line as it was, moved by no more than the edits before it, i at most, and no further from
+    where the edits after it leave it than their number, bound - i at most.
+    """
+
+    def key(t, d, i, shift):
+        cut = lambda k: f"({k} * (n - {d}) div {t + 1})"
+        return F.expr(f"case when least({edits}, (n - {d}) div {min_fuzzy}) = {t} then xxhash64({t}, n - {d}, {i}, substring(line, cast({cut(i)} + {shift} + 1 as int), cast({cut(i + 1)} - {cut(i)} as int))) end")
+
+    own = [key(t, 0, i, 0) for t in range(2, edits + 1) for i in range(t + 1)]
+    other = [key(t, d, i, x) for t in range(2, edits + 1) for d in range(t + 1) for i in range(t + 1) for x in range(max(-i, d - t + i), min(i, d + t - i) + 1)]
+    return own, other
+
+
+def _segment_pairs(scratch: Scratch, fuzzy: DataFrame, edits: int, min_fuzzy: int) -> DataFrame:
+    """(a, b): hashes of lines that share a segment, each pair once; all that are 2 to ``edits`` edits apart are among them."""
+    own, other = _segment_keys(edits, min_fuzzy)
+    keys = fuzzy.where(F.col("n") >= 2 * min_fuzzy).select("h", F.posexplode(F.array(*own, *other)).alias("k", "key")).where("key is not null")
+    keys = keys.select("key", "h", (F.col("k") >= len(own)).alias("probe"))
+    by_key = Window.partitionBy("key")
+    met = scratch.write(keys.select("*", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi")).where("lo <> hi").select("key", "h", "probe").distinct())
+    sides = met.where("not probe").select("key", F.col("h").alias("a")).join(met.where("probe").select("key", F.col("h").alias("b")), "key").where("a <> b")
+    return sides.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def variants(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of the whole line, of it without each character, and which of these head a run of equal characters."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64) + U64(1)
@@ -93,20 +123,22 @@ def _sieve(spark: SparkSession, keys: DataFrame, most: int = 1 << 22):
     return F.arrow_udf(may_hold, "boolean")
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
-    """Every line that has an earlier one at most one edit away.
+def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FUZZY, edits: int = EDITS) -> DataFrame:
+    """Every line that has an earlier one at most a few edits away.
 
     Returns (doc_id, line_no, first_doc_id, first_line_no, edits): the line, and the earliest line
-    (by doc_id, then line number from 0) at edit distance 0, or 1 where both have ``min_fuzzy``
-    characters or more. A distance counts inserted, deleted and replaced characters. Lines are
-    taken as they are, split at newlines.
+    (by doc_id, then line number from 0) within the bound, which is one edit for every ``min_fuzzy``
+    characters of the shorter line, up to ``edits``. A distance counts inserted, deleted and replaced
+    characters. Lines are taken as they are, split at newlines.
 
     Blank lines, null texts and rows with a null doc_id never count. Repeated rows of a doc_id
     are one document's rows: a line that stands at the same place in each is the same line.
     Only doc_id and text are read. An empty table gives no rows.
 
     The deletion neighbourhood is emitted only for lines that share an intact half with another
-    line of a fitting length, which is necessary for one edit; nothing is lost by that.
+    line of a fitting length, which is necessary for one edit; nothing is lost by that. For more
+    edits, lines that share an intact segment are compared one by one: every pair of them, however
+    many share it.
     """
     scratch = Scratch(spark)
     lines = _lines(docs)
@@ -116,22 +148,35 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FU
     by_key = Window.partitionBy("key")
     halves = fuzzy.select("h", F.explode(F.array_distinct(_half_keys())).alias("key"))
     shared = halves.select("h", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi")).where("lo <> hi").select("h").distinct()
-    wanted = scratch.write(firsts.join(shared, "h", "left_semi").select("h", "h2", "first"))
+    if edits > 1:
+        segments = scratch.write(_segment_pairs(scratch, fuzzy, edits, min_fuzzy))
+        both = shared.select("h", F.lit(True).alias("half")).union(segments.select(F.explode(F.array("a", "b")).alias("h"), F.lit(False).alias("half")))
+        wanted = scratch.write(firsts.join(both.groupBy("h").agg(F.max("half").alias("half")), "h").select("h", "h2", "first", "half"))
+    else:
+        wanted = scratch.write(firsts.join(shared, "h", "left_semi").select("h", "h2", "first", F.lit(True).alias("half")))
     # the text of each candidate, once, from the place where it first stands
     may_hold = _sieve(spark, wanted.select("h"))
     texts = fuzzy.where(may_hold("h")).alias("l").join(wanted.alias("w"), (F.col("l.h") == F.col("w.h")) & (F.col("l.h2") == F.col("w.h2")) & (F.col("l.doc_id") == F.col("w.first.doc_id")) & (F.col("l.line_no") == F.col("w.first.line_no")))
-    cand = scratch.write(texts.select("l.line", "l.h", F.col("w.first").alias("first")).dropDuplicates(["h"]))
-    rows = cand.select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows, "key long, kind byte, d long, l int")
+    cand = scratch.write(texts.select("l.line", "l.h", F.col("w.first").alias("first"), "w.half").dropDuplicates(["h"]))
+    rows = cand.where("half").select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows, "key long, kind byte, d long, l int")
     mine = lambda *k: F.when(F.col("kind").isin(*k), F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")))
     seen = rows.select("kind", F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).alias("first"), F.min(mine(0)).over(by_key).alias("m0"), F.min(mine(1)).over(by_key).alias("m1"), F.min(mine(2)).over(by_key).alias("m2"))
     seen = seen.select("first", F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1")).alias("m"))
     best = seen.where("m < first").groupBy("first").agg(F.min("m").alias("m"))
     # the partner's text, for the exact check
     pairs = best.join(cand.select("first", "h", "line"), "first").join(cand.select(F.col("first").alias("m"), F.col("line").alias("other")), "m")
-    near = scratch.write(pairs.where(F.levenshtein("line", "other", 1) == 1).select("h", "first", F.col("m").alias("near")))
-    partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near").where("near is not null or first <> last")
+    near = pairs.where(F.levenshtein("line", "other", 1) == 1).select("h", "first", F.col("m").alias("near"), F.lit(1).alias("edits"))
+    if edits > 1:
+        a, b = (cand.select(F.col("h").alias(k), F.struct("first", "h", "line").alias(f"l{k}")) for k in "ab")
+        met = segments.join(a, "a").join(b, "b").select(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
+        bound = F.least(F.lit(edits), F.expr(f"cast(least(length(x.line), length(y.line)) div {min_fuzzy} as int)"))
+        met = met.select("x", "y", F.levenshtein("x.line", "y.line", edits).alias("edits"), bound.alias("bound")).where("edits between 2 and bound")
+        near = near.union(met.select("y.h", "y.first", F.col("x.first").alias("near"), "edits"))
+        near = near.groupBy("h", "first").agg(F.min(F.struct("near", "edits")).alias("m")).select("h", "first", "m.near", "m.edits")
+    near = scratch.write(near)
+    partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near", "edits").where("near is not null or first <> last")
     found = lines.select("doc_id", "line_no", "h", "h2", "n").join(partner, ["h", "h2", "n"])
-    found = found.select("doc_id", "line_no", F.coalesce("near", "first").alias("p"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits"), spot.alias("own"))
+    found = found.select("doc_id", "line_no", F.coalesce("near", "first").alias("p"), F.coalesce("edits", F.lit(0)).alias("edits"), spot.alias("own"))
     return found.where("p < own").select("doc_id", "line_no", F.col("p.doc_id").alias("first_doc_id"), F.col("p.line_no").alias("first_line_no"), "edits").distinct()
 
 

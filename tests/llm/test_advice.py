@@ -1,0 +1,36 @@
+"""What reviews found missing, each against brute force or values written by hand."""
+
+import functools
+import random
+
+from lodeworks.llm import linededup
+
+from .test_brute_force import levenshtein, table
+
+
+def test_lines_several_edits_apart(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefg  ") for _ in range(rng.randint(15, 140))).strip() for _ in range(30)] + ["ab" * 50, "aab" * 30]
+    flat = []
+    for k in range(110):
+        s = list(rng.choice(base[::3] if k % 2 else base[-2:]))
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4, 5])):
+            p = rng.randrange(len(s))
+            rng.choice([lambda: s.insert(p, "z"), lambda: s.pop(p), lambda: s.__setitem__(p, "y")])()  # noqa: B023
+        flat.append(((k // 5, k % 5), "".join(s)))
+    flat += [((90, 0), "Annual report of the harbour office, 2019"), ((91, 0), "Annual report of the harbour office, 2020")]
+    docs = {}
+    for (i, _), line in flat:
+        docs[i] = f"{docs[i]}\n{line}" if i in docs else line
+    apart = functools.cache(levenshtein)
+    for edits in (1, 2, 3):
+        want = {}
+        for k, (own, line) in enumerate(flat):
+            for other, x in flat[:k]:
+                bound = min(edits, min(len(x), len(line)) // linededup.MIN_FUZZY)
+                if abs(len(x) - len(line)) <= bound and (n := apart(x, line)) <= bound:
+                    want[own] = (*other, n)
+                    break
+        got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.edits) for r in linededup.repeated_lines(spark, table(spark, list(docs.items())), edits=edits).collect()}
+        assert got == want and {n for *_, n in want.values()} == set(range(edits + 1))
+    assert got[91, 0] == (90, 0, 2)

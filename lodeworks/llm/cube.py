@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -14,6 +14,8 @@ from .common import Scratch
 _EPS = 1e-9
 #: Documents of one source that one task takes through the flight phase at a time.
 BLOCK = 50_000
+#: Share of the tokens that is selected at least where no total is given.
+KEEP = 0.5
 
 
 def flight(p: list[float], tokens: list[float], draw: list[float]) -> list[float]:
@@ -76,14 +78,16 @@ def _land(t: pa.Table) -> pa.Table:
     return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, tokens: int | None = None, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, tokens: int | None = None, seed: int = 0, block: int = BLOCK, keep: float = KEEP) -> DataFrame:
     """(doc_id, source, tokens, inclusion, selected) of every document, so that the selected ones
     hold each source in its target share of tokens.
 
     ``weights`` are the target shares by source, equal where not given; ``tokens`` is the total to
-    select, by default the most for which no source has to repeat. A document's inclusion
-    probability is its source's target over the source's tokens, 1 at most; tokens are counted as
-    words. The cube method makes the number of documents and of tokens drawn from each source
+    select, by default the most for which no source falls short of its share, but ``keep`` of the
+    tokens of the weighted sources at least, however small one of them is. A source below its share
+    is taken whole, at inclusion 1, and the others make up for what it lacks by their weights. A
+    document's inclusion probability is its source's target over the source's tokens; tokens are
+    counted as words. The cube method makes the number of documents and of tokens drawn from each source
     equal their expectations up to the last few units, which the landing phase rounds.
 
     The flight runs on blocks of a source, then on what the blocks leave (at most two units each).
@@ -99,9 +103,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float]
     totals = units.groupBy("source").agg(F.sum("tokens").alias("have"))
     weight = F.lit(1.0) if weights is None else F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
     totals = totals.withColumn("w", F.when(F.col("have") > 0, weight).otherwise(0.0))
-    totals = totals.crossJoin(totals.agg(F.sum("w").alias("all"), F.min(F.when(F.col("w") > 0, F.col("have") / F.col("w"))).alias("scale")))
-    budget = F.lit(float(tokens)) * F.col("w") / F.col("all") if tokens is not None else F.col("w") * F.col("scale")
-    totals = totals.withColumn("inclusion", F.when(F.col("w") > 0, F.least(F.lit(1.0), budget / F.col("have"))).otherwise(0.0))
+    totals = totals.withColumn("rate", F.when(F.col("w") > 0, F.col("have") / F.col("w")))
+    weighted = totals.where("w > 0")
+    total = F.lit(float(tokens)) if tokens is not None else F.greatest(F.sum("w") * F.min("rate"), F.lit(keep) * F.sum("have"))
+    # the level, tokens for a weight of 1, at which the sources not taken whole fill up the total: sources of lower
+    # rate are whole, and the first whose rate is not below the level shows it
+    rising = Window.orderBy("rate", "source")
+    earlier = F.coalesce(F.sum("have").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = weighted.crossJoin(weighted.agg(total.alias("total"))).withColumn("level", (F.col("total") - earlier) / F.sum("w").over(rising.rowsBetween(0, Window.unboundedFollowing)))
+    level = level.where("level <= rate").agg(F.min(F.struct("rate", "source", "level"))["level"].alias("level"))
+    totals = totals.crossJoin(level)
+    totals = totals.withColumn("inclusion", F.when(F.col("w") > 0, F.coalesce(F.least(F.lit(1.0), F.col("w") * F.col("level") / F.col("have")), F.lit(1.0))).otherwise(0.0))
     rates = scratch.write(totals.select(F.col("source").alias("s"), "inclusion"))
     # the hash of repeated rows is the same, so units have a number to tell them apart
     base = units.join(rates, units["source"].eqNullSafe(rates["s"])).drop("s").withColumn("p", F.col("inclusion"))

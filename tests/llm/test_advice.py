@@ -3,7 +3,7 @@
 import functools
 import random
 
-from lodeworks.llm import linededup
+from lodeworks.llm import cube, linededup
 
 from .test_brute_force import levenshtein, table
 
@@ -34,3 +34,22 @@ def test_lines_several_edits_apart(spark):
         got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.edits) for r in linededup.repeated_lines(spark, table(spark, list(docs.items())), edits=edits).collect()}
         assert got == want and {n for *_, n in want.values()} == set(range(edits + 1))
     assert got[91, 0] == (90, 0, 2)
+
+
+def test_small_sources_do_not_set_the_total(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(10, 90)), f"s{i % 20}") for i in range(800)] + [(900, "w " * 10, "one"), (901, "w " * 12, None), (902, None, "none")]
+    t = table(spark, rows, "doc_id long, text string, source string")
+    got = cube.mix_sources(spark, t).collect()
+    by = lambda s, f: sum(f(r) for r in got if r.source == s)
+    have = sum(r.tokens for r in got)
+    assert sum(r.inclusion * r.tokens for r in got) >= 0.5 * have - 1e-6
+    assert {(r.doc_id, r.inclusion, r.selected) for r in got if r.source in ("one", None)} == {(900, 1.0, True), (901, 1.0, True)}
+    assert [(r.inclusion, r.selected) for r in got if r.source == "none"] == [(0.0, False)]
+    shares = [by(f"s{k}", lambda r: r.inclusion * r.tokens) for k in range(20)]
+    assert max(shares) - min(shares) < 1e-6 and all(abs(by(f"s{k}", lambda r: r.selected * r.tokens) - shares[k]) <= 95 for k in range(20))
+    assert {r.doc_id for r in cube.draw(spark, t).collect()} == {r.doc_id for r in got if r.selected}
+    # a total: what the small sources lack is made up for, and a total above all there is takes all
+    for total in (20 * 600 + 22, 10**9):
+        got = cube.mix_sources(spark, t, tokens=total).collect()
+        assert abs(sum(r.inclusion * r.tokens for r in got) - min(total, have)) < 1e-6

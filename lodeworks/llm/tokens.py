@@ -1,14 +1,18 @@
 """Vectorised word hashing over Arrow string buffers.
 
-Words are maximal runs of ASCII letters, digits and bytes of non-ASCII characters, after a
-case fold that keeps byte lengths (ASCII and Latin-1 letters), so offsets also hold for the
-original text. Everything runs on whole buffers with numpy: no Python object is made per word.
+Words are maximal runs of letters, digits and marks, after a case fold that keeps byte lengths
+(ASCII and Latin-1 letters), so offsets also hold for the original text. Punctuation, symbols and
+spaces of any script end a word; each character of a script that is written without spaces (Han,
+kana, Thai, Lao, Khmer, Burmese) is a word of its own. Everything runs on whole buffers with
+numpy: no Python object is made per word.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,22 @@ CHUNK_BYTES = 2 << 20
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
+#: Blocks of scripts without spaces between words.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 ends words, 1 is part of one, 2 is a word of its own."""
+    out = np.ones(0x110000, dtype=np.uint8)
+    for c in range(0x80, 0x1FB00):  # beyond are letters, and private or unassigned code points
+        if unicodedata.category(chr(c))[0] in "PSZC" and not 0xD800 <= c < 0xF900:
+            out[c] = 0
+    for a, z in _UNSPACED:
+        out[a : z + 1][out[a : z + 1] == 1] = 2
+    return out
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -104,6 +124,9 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> Word
     inside = np.zeros(n + 2, dtype=bool)
     inside[1:-1] = _WORD[data]
     edge = np.zeros(n + 1, dtype=bool)
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        _wide(data, lead, inside[1:], edge)
     edge[offsets] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
@@ -114,6 +137,23 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> Word
     return Words(first, last, row, start, end, mix(h ^ ((end - start).astype(U64) << U64(48))), data, offsets)
 
 
+def _wide(data: np.ndarray, lead: np.ndarray, inside: np.ndarray, edge: np.ndarray) -> None:
+    """Takes separators of more than a byte, which begin at ``lead``, out of words, and sets words of one character apart."""
+    first = data[lead]
+    size = 2 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+    code = (first & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))).astype(np.int64)
+    for k in (1, 2, 3):
+        more = size > k
+        byte = data[np.minimum(lead + k, len(data) - 1)] & 0x3F
+        code = np.where(more, (code << 6) | byte, code)
+    kind = _kinds()[np.minimum(code, 0x10FFFF)]
+    for k in range(4):
+        inside[lead[(kind == 0) & (size > k)] + k] = False
+    alone = kind == 2
+    edge[lead[alone]] = True
+    edge[lead[alone] + size[alone]] = True
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive word hashes; runs at the end that are too short are absent."""
     n = len(h)

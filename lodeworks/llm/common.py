@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a sieve at most: 16 MB on an executor, whatever the size of the corpus.
+SIEVE_BITS = 1 << 27
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +55,49 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that a column of ``df`` already has (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sieve(spark: SparkSession, keys: DataFrame, hashes: int = 1, most: int = SIEVE_BITS):
+    """A test of arrays of int64 hashes that holds for every value of the one column of ``keys``, and for few others.
+
+    A bitmap of 16 bits a key for each of ``hashes`` probes, up to ``most`` bits in all. It is only ever used to
+    thin what is shuffled into an exact join with the keys, in the same plan at every size: with more keys it
+    fills up, and lets more of the others through. Words of the bitmap that have bits come to the driver.
+    """
+    key = keys.columns[0]
+    n = keys.count()
+    bits = min(most, 1 << max(10, (16 * hashes * n).bit_length()))
+    probes = [F.pmod(F.shiftrightunsigned(F.col(key), 20 * k), F.lit(bits)) for k in range(hashes)]
+    spots = keys.select(F.explode(F.array(*probes)).alias("b")) if hashes > 1 else keys.select(probes[0].alias("b"))
+    spots = spots.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    bitmap = np.zeros(bits >> 6, dtype=np.int64)
+    bitmap[spots["w"].to_numpy()] = spots["v"].to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def may_hold(h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), dtype=bool)
+        for k in range(hashes):
+            b = ((h.view(np.uint64) >> np.uint64(20 * k)).view(np.int64) if k else h) & (bits - 1)
+            out &= (shared.value[b >> 6] >> (b & 63)) & 1 == 1
+        return out
+
+    return may_hold
+
+
+def sieve_column(may_hold):
+    """The test of ``sieve`` as a column function of a long column."""
+    return F.arrow_udf(lambda h: pa.array(may_hold(h.to_numpy(zero_copy_only=False))), "boolean")
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root being the least id of its component.
 
@@ -66,14 +114,17 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
     if not before.n:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
+        # minima by partial aggregation, joined back: a node with many edges is split where the join is skewed
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.select("u", "v", low.alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.write(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after_df = scratch.write(small)
         scratch.drop(now)
+        scratch.drop(large)
         now, after = after_df, seal(after_df)
         if tuple(after) == tuple(before):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

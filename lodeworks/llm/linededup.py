@@ -1,4 +1,4 @@
-"""Line dedup: lines one edit apart share a hashed deletion variant, lines of more edits an intact segment."""
+"""Line dedup by deletion neighbourhoods: lines a character or a word apart share a hashed variant."""
 
 from __future__ import annotations
 
@@ -6,199 +6,206 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh, sieve, sieve_column
 from .tokens import _BASE, _INVERSE, U64, mix, powers
 
-#: Lines of fewer characters are compared exactly: one edit changes too much of them.
-MIN_FUZZY = 20
-#: Edits two lines may be apart, at most: one for every MIN_FUZZY characters of the shorter, up to this.
-EDITS = 3
+#: Lines of fewer characters than MIN_FUZZY, or of fewer words than MIN_WORDS, aren't compared by edits of
+#: characters, or of words: one edit changes too much of them.
+MIN_FUZZY, MIN_WORDS = 20, 8
+#: A character that isn't white space, in the regular expressions of Java and of RE2.
+SOLID = r"[^\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]"
+#: Lines of fewer words share halves by characters, longer ones by words.
+_FEW = 5
+_SPOT = "doc_id", "line_no"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h, n) of each line that isn't blank."""
+    """(doc_id, line_no, line, h, h2, n) of each line that isn't blank."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    out = slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    out = slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(SOLID))
     return out.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), F.length("line").alias("n"))
 
 
 def _half_keys() -> F.Column:
     """Hashes of an intact half, for each length that the shorter of two partners can have.
 
-    One edit leaves either the first or the last half of the shorter line as it was, so lines one
-    edit apart agree on a key made of that length, the side and the half.
+    One edit of a character or a word leaves either the first or the last half of the shorter line as it
+    was, so partners agree on a key made of its length, the side and the half. An edit of a character
+    changes the number of words by one at most, so halves of words serve for it too, unless the shorter
+    line has hardly any words.
     """
 
-    def of(length):
+    def chars(length):
         half = (length / 2).cast("int")
         return F.array(F.xxhash64(F.lit(1), length, F.substring("line", F.lit(1), half)), F.xxhash64(F.lit(2), length, F.substring(F.col("line"), F.col("n") - half + 1, half)))
 
-    return F.concat(of(F.col("n")), of(F.col("n") - 1))
+    def of_words(d):
+        k = f"cast((w - {d}) div 2 as int)"
+        return F.expr(f"array(xxhash64(3, w - {d}, substring_index(line, ' ', {k})), xxhash64(4, w - {d}, substring_index(line, ' ', -{k})))")
 
+    none, w = F.array().cast("array<bigint>"), F.col("w")
+    few = F.when(w <= _FEW, F.concat(chars(F.col("n")), chars(F.col("n") - 1))).otherwise(none)
+    return F.concat(few, F.when(w >= _FEW, of_words(0)).otherwise(none), F.when(w > _FEW, of_words(1)).otherwise(none))
 
-def _segment_keys(edits: int, min_fuzzy: int) -> tuple[list[F.Column], list[F.Column]]:
-    """Keys of a line as the shorter of two partners and as the other one, null where its length doesn't fit.
 
-    The shorter line is cut into bound + 1 segments. Of lines within the bound, one segment i stands in
-    the other line as it was, moved by no more than the edits before it, i at most, and no further from
-    where the edits after it leave it than their number, bound - i at most.
-    """
+def _pieces(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of a whole sequence of values, of it without each of them, and which of these head a run of equal ones."""
+    n = len(parts)
+    total = np.zeros(n + 1, dtype=U64)
+    np.cumsum(parts * powers(_BASE, n), out=total[1:])
+    whole = mix(total[n:] ^ U64(n << 40))
+    cut = total[:-1] + (total[n] - total[1:]) * U64(_INVERSE)
+    return whole, mix(cut ^ U64((n - 1) << 40)), np.concatenate(([True], parts[1:] != parts[:-1]))
 
-    def key(t, d, i, shift):
-        cut = lambda k: f"({k} * (n - {d}) div {t + 1})"
-        return F.expr(f"case when least({edits}, (n - {d}) div {min_fuzzy}) = {t} then xxhash64({t}, n - {d}, {i}, substring(line, cast({cut(i)} + {shift} + 1 as int), cast({cut(i + 1)} - {cut(i)} as int))) end")
 
-    own = [key(t, 0, i, 0) for t in range(2, edits + 1) for i in range(t + 1)]
-    other = [key(t, d, i, x) for t in range(2, edits + 1) for d in range(t + 1) for i in range(t + 1) for x in range(max(-i, d - t + i), min(i, d + t - i) + 1)]
-    return own, other
+def variants(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_pieces``, of the characters of a line."""
+    return _pieces(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64) + U64(1))
 
 
-def _segment_pairs(scratch: Scratch, fuzzy: DataFrame, edits: int, min_fuzzy: int) -> DataFrame:
-    """(a, b): hashes of lines that share a segment, each pair once; all that are 2 to ``edits`` edits apart are among them."""
-    own, other = _segment_keys(edits, min_fuzzy)
-    keys = fuzzy.where(F.col("n") >= 2 * min_fuzzy).select("h", F.posexplode(F.array(*own, *other)).alias("k", "key")).where("key is not null")
-    keys = keys.select("key", "h", (F.col("k") >= len(own)).alias("probe"))
-    by_key = Window.partitionBy("key")
-    met = scratch.write(keys.select("*", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi")).where("lo <> hi").select("key", "h", "probe").distinct())
-    sides = met.where("not probe").select("key", F.col("h").alias("a")).join(met.where("probe").select("key", F.col("h").alias("b")), "key").where("a <> b")
-    return sides.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def word_variants(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_pieces``, of the words of a line, cut at each space."""
+    return _pieces(mix(np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in text.split(" ")], dtype=U64)))
 
 
-def variants(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the whole line, of it without each character, and which of these head a run of equal characters."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64) + U64(1)
-    n = len(c)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum(c * powers(_BASE, n), out=total[1:])
-    whole = mix(total[n:] ^ U64(n << 40))
-    cut = total[:-1] + (total[n] - total[1:]) * U64(_INVERSE)
-    return whole, mix(cut ^ U64((n - 1) << 40)), np.concatenate(([True], c[1:] != c[:-1]))
+def _rows(pieces: tuple[np.ndarray, np.ndarray, np.ndarray], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, kind): kind the line without the piece at a position, kind + 1 whole, kind + 2 without a piece."""
+    whole, cut, head = pieces
+    # a replaced piece stands at the same place in both lines; a run has one variant without one of it
+    placed = mix(cut ^ mix(np.arange(len(cut), dtype=U64) + U64(0x632BE59BD9B4E019)))
+    key = np.concatenate([placed, whole, cut[head]])
+    return (mix(key ^ U64(kind)) if kind else key).view(np.int64), np.repeat(np.array([kind, kind + 1, kind + 2], dtype=np.int8), [len(cut), 1, head.sum()])
+
 
+def _variant_rows(min_fuzzy: int, min_words: int):
+    """(key, kind, d, l): kinds 0 to 2 of characters, 3 to 5 of words; d and l are the document and number of the line."""
 
-def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, kind, d, l): kind 0 line and position, 1 whole line, 2 line without a character; d and l
-    are the document and number of the line."""
     def batch(parts):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "kind", "d", "l"])
 
-    parts, size = [], 0
-    for b in batches:
-        for line, d, n in zip(b.column(0).to_pylist(), *(c.to_numpy() for c in b.columns[1:]), strict=True):
-            whole, cut, head = variants(line)
-            # a replaced character stands at the same place in both lines; a run has one variant without one of it
-            placed = mix(cut ^ mix(np.arange(len(cut), dtype=U64) + U64(0x632BE59BD9B4E019)))
-            key = np.concatenate([placed, whole, cut[head]]).view(np.int64)
-            parts.append((key, np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(cut), 1, head.sum()]), np.full(len(key), d), np.full(len(key), n)))
-            size += len(key)
-            if size > 1 << 18:
-                yield batch(parts)
-                parts, size = [], 0
-    if parts:
-        yield batch(parts)
-
-
-def _sieve(spark: SparkSession, keys: DataFrame, most: int = 1 << 22):
-    """A predicate that holds for every value of ``keys`` (column h) and for few others.
-
-    A bitmap of 16 bits a key, built from the words that have bits, goes to the executors: 8 MB at
-    most. With more than ``most`` keys the predicate lets everything through; whoever uses it
-    still joins with the keys, so only the amount that is shuffled differs.
-    """
-    n = keys.count()
-    if n > most:
-        return lambda h: F.lit(True)
-    bits = 1 << max(10, (16 * n).bit_length())
-    spots = keys.select(F.pmod("h", F.lit(bits)).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
-    bitmap = np.zeros(bits >> 6, dtype=np.int64)
-    bitmap[spots["w"].to_numpy()] = spots["v"].to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def may_hold(h: pa.Array) -> pa.Array:
-        b = h.to_numpy() & (bits - 1)
-        return pa.array((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
-
-    return F.arrow_udf(may_hold, "boolean")
-
-
-def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FUZZY, edits: int = EDITS) -> DataFrame:
-    """Every line that has an earlier one at most a few edits away.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in batches:
+            for line, d, n in zip(b.column(0).to_pylist(), *(c.to_numpy() for c in b.columns[1:]), strict=True):
+                made = [_rows(variants(line), 0)] if len(line) >= min_fuzzy else []
+                # one more word can be taken out of the longer of two partners
+                made += [_rows(word_variants(line), 3)] if line.count(" ") + 1 >= min_words else []
+                for key, kind in made:
+                    parts.append((key, kind, np.full(len(key), d), np.full(len(key), n)))
+                    size += len(key)
+                if size > 1 << 18:
+                    yield batch(parts)
+                    parts, size = [], 0
+        if parts:
+            yield batch(parts)
+
+    return rows
+
+
+def _apart(min_fuzzy: int, min_words: int):
+    """Whether two lines are one edit apart, of a character or of a word."""
+
+    def one(x, y) -> bool:
+        a = 0
+        while a < min(len(x), len(y)) and x[a] == y[a]:
+            a += 1
+        z = 0
+        while z < min(len(x), len(y)) - a and x[-1 - z] == y[-1 - z]:
+            z += 1
+        return max(len(x), len(y)) - a - z <= 1
+
+    def apart(line: pa.Array, other: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(line.to_pylist(), other.to_pylist(), strict=True):
+            close = abs(len(x) - len(y)) <= 1 and min(len(x), len(y)) >= min_fuzzy and one(x, y)
+            if not close:
+                x, y = x.split(" "), y.split(" ")
+                close = min(len(x), len(y)) >= min_words and one(x, y)
+            out.append(close)
+        return pa.array(out)
+
+    return F.arrow_udf(apart, "boolean")
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FUZZY, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every line that has an earlier one at most an edit away.
 
     Returns (doc_id, line_no, first_doc_id, first_line_no, edits): the line, and the earliest line
-    (by doc_id, then line number from 0) within the bound, which is one edit for every ``min_fuzzy``
-    characters of the shorter line, up to ``edits``. A distance counts inserted, deleted and replaced
-    characters. Lines are taken as they are, split at newlines.
+    (by doc_id, then line number from 0) that is equal (edits 0), or one inserted, deleted or
+    replaced character away where both have ``min_fuzzy`` characters, or one inserted, deleted or
+    replaced word away where both have ``min_words`` words (edits 1). A word may be of any length,
+    so the bound in characters follows what the line is made of. Lines are taken as they are, split
+    at newlines, and words at spaces.
 
     Blank lines, null texts and rows with a null doc_id never count. Repeated rows of a doc_id
-    are one document's rows: a line that stands at the same place in each is the same line.
-    Only doc_id and text are read. An empty table gives no rows.
+    are one document's rows: a line that stands at the same place in each is the same line. Of
+    partners at any distance the earliest counts. Very long texts and lines are taken whole. Only
+    doc_id and text are read. An empty table gives no rows.
 
     The deletion neighbourhood is emitted only for lines that share an intact half with another
-    line of a fitting length, which is necessary for one edit; nothing is lost by that. For more
-    edits, lines that share an intact segment are compared one by one: every pair of them, however
-    many share it.
+    line of a fitting length, which is necessary for one edit; nothing is lost by that. A line's
+    partner comes from the least line of each variant, so no pairs of a group are made.
     """
     scratch = Scratch(spark)
     lines = _lines(docs)
-    spot = F.struct("doc_id", "line_no")
+    spot = F.struct(*_SPOT)
     firsts = scratch.write(lines.groupBy("h", "h2", "n").agg(F.min(spot).alias("first"), F.max(spot).alias("last")))
-    fuzzy = lines.where(F.col("n") >= min_fuzzy)
-    by_key = Window.partitionBy("key")
-    halves = fuzzy.select("h", F.explode(F.array_distinct(_half_keys())).alias("key"))
-    shared = halves.select("h", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi")).where("lo <> hi").select("h").distinct()
-    if edits > 1:
-        segments = scratch.write(_segment_pairs(scratch, fuzzy, edits, min_fuzzy))
-        both = shared.select("h", F.lit(True).alias("half")).union(segments.select(F.explode(F.array("a", "b")).alias("h"), F.lit(False).alias("half")))
-        wanted = scratch.write(firsts.join(both.groupBy("h").agg(F.max("half").alias("half")), "h").select("h", "h2", "first", "half"))
-    else:
-        wanted = scratch.write(firsts.join(shared, "h", "left_semi").select("h", "h2", "first", F.lit(True).alias("half")))
-    # the text of each candidate, once, from the place where it first stands
-    may_hold = _sieve(spark, wanted.select("h"))
-    texts = fuzzy.where(may_hold("h")).alias("l").join(wanted.alias("w"), (F.col("l.h") == F.col("w.h")) & (F.col("l.h2") == F.col("w.h2")) & (F.col("l.doc_id") == F.col("w.first.doc_id")) & (F.col("l.line_no") == F.col("w.first.line_no")))
-    cand = scratch.write(texts.select("l.line", "l.h", F.col("w.first").alias("first"), "w.half").dropDuplicates(["h"]))
-    rows = cand.where("half").select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows, "key long, kind byte, d long, l int")
-    mine = lambda *k: F.when(F.col("kind").isin(*k), F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")))
-    seen = rows.select("kind", F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).alias("first"), F.min(mine(0)).over(by_key).alias("m0"), F.min(mine(1)).over(by_key).alias("m1"), F.min(mine(2)).over(by_key).alias("m2"))
-    seen = seen.select("first", F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1")).alias("m"))
+    keyed = lines.withColumn("w", F.size(F.split("line", " "))).where((F.col("n") >= min_fuzzy) | (F.col("w") >= min_words)).withColumn("keys", F.array_distinct(_half_keys()))
+    shared = keyed.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    shared = scratch.write(shared)
+    # lines with such a key, once each with the place where they first stand: those that pass the sieve, then exactly
+    passes = sieve_column(sieve(spark, shared))
+    thin = keyed.where(F.exists("keys", lambda k: k.isNotNull())).select("h", "h2", "n", *_SPOT, "line", "keys")
+    flat = thin.select("h", "h2", "n", *_SPOT, "line", F.explode("keys").alias("key")).where(passes("key"))
+    flat = flat.groupBy("h", "h2", "n").agg(F.min(F.struct(*_SPOT, "line")).alias("first"), F.collect_set("key").alias("keys"))
+    cand = scratch.write(flat)
+    exact = cand.select("h", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h").distinct()
+    cand = scratch.write(cand.join(exact, "h", "left_semi").select("first.line", "h", F.struct("first.doc_id", "first.line_no").alias("first")))
+    rows = cand.select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows(min_fuzzy, min_words), "key long, kind byte, d long, l int")
+    # keys that two lines have, from partial aggregates; the rows of these keys then meet the least line of each kind,
+    # in a join that splits the rows of a hot key (a template with one word open) where it is skewed
+    place = F.xxhash64("d", "l")
+    twice = rows.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
+    passes = sieve_column(sieve(spark, scratch.write(twice)))
+    rows = scratch.write(rows.where(passes("key")).select("key", "kind", F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).alias("first")))
+    mine = lambda *k: F.when(F.col("kind").isin(*k), F.col("first"))
+    least = rows.groupBy("key").agg(*(F.min(mine(k, k + 3)).alias(f"m{k}") for k in range(3)))
+    seen = rows.join(least, "key").select("first", F.when(F.col("kind").isin(0, 3), F.col("m0")).when(F.col("kind").isin(1, 4), F.col("m2")).otherwise(F.col("m1")).alias("m"))
     best = seen.where("m < first").groupBy("first").agg(F.min("m").alias("m"))
     # the partner's text, for the exact check
     pairs = best.join(cand.select("first", "h", "line"), "first").join(cand.select(F.col("first").alias("m"), F.col("line").alias("other")), "m")
-    near = pairs.where(F.levenshtein("line", "other", 1) == 1).select("h", "first", F.col("m").alias("near"), F.lit(1).alias("edits"))
-    if edits > 1:
-        a, b = (cand.select(F.col("h").alias(k), F.struct("first", "h", "line").alias(f"l{k}")) for k in "ab")
-        met = segments.join(a, "a").join(b, "b").select(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
-        bound = F.least(F.lit(edits), F.expr(f"cast(least(length(x.line), length(y.line)) div {min_fuzzy} as int)"))
-        met = met.select("x", "y", F.levenshtein("x.line", "y.line", edits).alias("edits"), bound.alias("bound")).where("edits between 2 and bound")
-        near = near.union(met.select("y.h", "y.first", F.col("x.first").alias("near"), "edits"))
-        near = near.groupBy("h", "first").agg(F.min(F.struct("near", "edits")).alias("m")).select("h", "first", "m.near", "m.edits")
-    near = scratch.write(near)
-    partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near", "edits").where("near is not null or first <> last")
-    found = lines.select("doc_id", "line_no", "h", "h2", "n").join(partner, ["h", "h2", "n"])
-    found = found.select("doc_id", "line_no", F.coalesce("near", "first").alias("p"), F.coalesce("edits", F.lit(0)).alias("edits"), spot.alias("own"))
-    return found.where("p < own").select("doc_id", "line_no", F.col("p.doc_id").alias("first_doc_id"), F.col("p.line_no").alias("first_line_no"), "edits").distinct()
+    near = scratch.write(pairs.where(_apart(min_fuzzy, min_words)("line", "other")).select("h", "first", F.col("m").alias("near")))
+    partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near").where("near is not null or first <> last")
+    found = lines.select(*_SPOT, "h", "h2", "n").join(partner, ["h", "h2", "n"])
+    found = found.select(*_SPOT, F.coalesce("near", "first").alias("p"), F.col("near").isNotNull().cast("int").alias("edits"), spot.alias("own"))
+    return found.where("p < own").select(*_SPOT, F.col("p.doc_id").alias("first_doc_id"), F.col("p.line_no").alias("first_line_no"), "edits").distinct()
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one; a document left with no line goes.
+    """``docs`` without the lines that repeat an earlier one; a document of which only white space is left goes.
 
     n_chars, where the table has it, is counted anew for texts that changed. Texts that are null
-    or had no repeated line stay as they were.
+    or had no repeated line stay as they were, as do rows with a null doc_id. Other columns may have
+    any name. An empty table stays empty.
     """
+    doc, cut, rest = fresh(docs, "doc", "cut", "rest")
     found = repeated_lines(spark, docs, **options)
-    cut = Scratch(spark).write(found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__cut")))
+    cuts = Scratch(spark).write(found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(cut)))
     # decisions grow with the corpus, so they are never broadcast: one plan at every size, hashing them by document
-    joined = docs.join(cut.hint("shuffle_hash"), docs["doc_id"].cast("long") == cut["__doc"], "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__cut", i))
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = joined.withColumn("__text", text).where(F.col("__cut").isNull() | (F.trim("__text") != ""))
+    joined = docs.join(cuts.hint("shuffle_hash"), docs["doc_id"].cast("long") == cuts[doc], "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(cut, i))
+    text = F.when(F.col(cut).isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    joined = joined.withColumn(rest, text).where(F.col(cut).isNull() | F.col(rest).rlike(SOLID))
     cols = []
     for c in docs.columns:
         if c.lower() == "text":
-            cols.append(F.col("__text").alias(c))
+            cols.append(F.col(rest).alias(c))
         elif c.lower() == "n_chars":
-            cols.append(F.when(F.col("__cut").isNull(), F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(F.col(cut).isNull(), F.col(c)).otherwise(F.length(rest)).cast(docs.schema[c].dataType).alias(c))
         else:
-            cols.append(docs[c])
+            cols.append(F.col(f"`{c}`"))
     return joined.select(*cols)

@@ -41,8 +41,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the bound of its SQL
-    return linededup.repeated_lines(spark, table(spark, sf_dir, "documents"), edits=1)
+    return linededup.repeated_lines(spark, table(spark, sf_dir, "documents"))
 
 
 def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,33 +50,41 @@ def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_passages, op2_warc_bundles, op3_credentials, op4_mix_sources, op5_quality, op6_decontaminate, op7_neighbours, op8_near_duplicates, op9_line_dedup, op10_sanitise)}
 
-_LINES = """
+_LINES = f"""
 lines AS (
   SELECT doc_id, i - 1 AS line_no, parts[i] AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d,
        LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) r
-  WHERE trim(parts[i], ' ') <> ''
+  WHERE regexp_matches(parts[i], '{linededup.SOLID}')
 )"""
 
 ORACLE_SQL = {
-    # every deletion variant of every line, without the blocking of the Spark plan
+    # every deletion variant of every line by characters and by words, without the blocking of the Spark plan
     "op9_line_dedup": f"""
 WITH {_LINES},
-firsts AS (SELECT line, min(doc_id * 1000000 + line_no) AS own, length(line) AS n FROM lines GROUP BY line),
+firsts AS (SELECT line, min(doc_id * 1000000 + line_no) AS own, length(line) AS n, string_split(line, ' ') AS words FROM lines GROUP BY line),
 variants AS (
-  SELECT line, own, p, substr(line, 1, p - 1) || substr(line, p + 1) AS v
-  FROM (SELECT line, own, unnest(range(1, n + 1)) AS p FROM firsts WHERE n >= 20) f
+  SELECT line, own, p, substr(line, 1, p - 1) || substr(line, p + 1) AS v, 'c' AS unit
+  FROM (SELECT line, own, unnest(range(1, n + 1)) AS p FROM firsts WHERE n >= {linededup.MIN_FUZZY}) f
+  UNION ALL
+  SELECT line, own, p, array_to_string(list_concat(words[:p - 1], words[p + 1:]), ' '), 'w'
+  FROM (SELECT line, own, words, unnest(range(1, len(words) + 1)) AS p FROM firsts WHERE len(words) >= {linededup.MIN_WORDS}) f
+),
+wholes AS (
+  SELECT line, own, 'c' AS unit FROM firsts WHERE n >= {linededup.MIN_FUZZY}
+  UNION ALL
+  SELECT line, own, 'w' FROM firsts WHERE len(words) >= {linededup.MIN_WORDS}
 ),
 pairs AS (
-  SELECT a.line, min(b.own) AS near FROM variants a JOIN variants b ON a.v = b.v AND a.p = b.p AND b.own < a.own GROUP BY a.line
+  SELECT a.line, min(b.own) AS near FROM variants a JOIN variants b ON a.v = b.v AND a.p = b.p AND a.unit = b.unit AND b.own < a.own GROUP BY a.line
   UNION ALL
-  SELECT a.line, min(b.own) FROM variants a JOIN firsts b ON a.v = b.line AND b.n >= 20 AND b.own < a.own GROUP BY a.line
+  SELECT a.line, min(b.own) FROM variants a JOIN wholes b ON a.v = b.line AND a.unit = b.unit AND b.own < a.own GROUP BY a.line
   UNION ALL
-  SELECT b.line, min(a.own) FROM variants a JOIN firsts b ON a.v = b.line AND b.n >= 20 AND a.own < b.own GROUP BY b.line
+  SELECT b.line, min(a.own) FROM variants a JOIN wholes b ON a.v = b.line AND a.unit = b.unit AND a.own < b.own GROUP BY b.line
 ),
 best AS (SELECT line, min(near) AS near FROM pairs GROUP BY line)
 SELECT l.doc_id, CAST(l.line_no AS INTEGER) AS line_no,
-       CAST(coalesce(near, own) // 1000000 AS BIGINT) AS first_doc_id, CAST(coalesce(near, own) % 1000000 AS INTEGER) AS first_line_no,
+       CAST(least(coalesce(near, own), own) // 1000000 AS BIGINT) AS first_doc_id, CAST(least(coalesce(near, own), own) % 1000000 AS INTEGER) AS first_line_no,
        CAST(CASE WHEN near IS NULL THEN 0 ELSE 1 END AS INTEGER) AS edits
 FROM (SELECT DISTINCT doc_id, line_no, line FROM lines) l JOIN firsts USING (line) LEFT JOIN best USING (line)
 WHERE coalesce(near, own) < l.doc_id * 1000000 + l.line_no

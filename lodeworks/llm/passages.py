@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sieve
 from .tokens import U64, grams, sliding_min, words
 
 #: Words of a phrase, and of the shortest passage that is certain to be found.
@@ -51,13 +51,35 @@ def _select(phrase: int, window: int):
     return select
 
 
+def _meet(phrase: int, may_hold):
+    """(h, doc_id) of every phrase of a document, wherever it stands, that may be one of the shared ones."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in words(b.column(1)):
+                g = grams(w.hash, phrase).view(np.int64)
+                at = np.flatnonzero((w.row[: len(g)] == w.row[phrase - 1 :]) & may_hold(g)) if len(g) else np.zeros(0, np.int64)
+                if len(at):
+                    h, r = g[at], w.row[at]
+                    order = np.lexsort((h, r))
+                    h, r = h[order], r[order]
+                    once = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[once]), b.column(0).take(pa.array(r[once]))], ["h", "doc_id"])
+
+    return meet
+
+
 def _ints(h: np.ndarray) -> np.ndarray:
     """Word hashes as the automaton takes them."""
     return (h >> U64(33)).astype(np.int32)
 
 
-def _route(phrase: int):
-    """Rows for the automata: phrases of the canonical documents, and each document for each shard it goes to."""
+_ROUTED = "shard long, salt long, kind byte, key long, lead int, seq binary"
+_FOUND = "h long, doc_id long, pos int, before int, after int"
+
+
+def _route(phrase: int, reach: int):
+    """Rows for the automata: phrases of the canonical documents with ``reach`` words about them, and each document for each shard it goes to."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,12 +94,15 @@ def _route(phrase: int):
                     own = seq[first[r - w.first] : first[r - w.first + 1]]
                     data = own.tobytes()
                     for p in phrases[r] or ():
-                        at = own[p["pos"] : p["pos"] + phrase]
+                        at = p["pos"]
                         # of texts under one doc_id, each gives its phrases; those too short are another text's
-                        if len(at) == phrase:
-                            out += [(p["shard"], k, 0, p["h"], at.tobytes()) for k in range(p["salts"])]
+                        if at + phrase <= len(own):
+                            lead = min(at, reach)
+                            some = own[at - lead : at + phrase + reach].tobytes()
+                            out += [(p["shard"], k, 0, p["h"], lead, some) for k in range(p["salts"])]
+                            size += len(some) * p["salts"]
                     for s in shards[r] or ():
-                        out.append((s["shard"], s["salt"], 1, ids[r], data))
+                        out.append((s["shard"], s["salt"], 1, ids[r], 0, data))
                         size += len(data)
                     if size > 1 << 24:
                         yield _rows(out)
@@ -89,37 +114,50 @@ def _route(phrase: int):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    shard, salt, kind, key, seq = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(salt, pa.int64()), pa.array(kind, pa.int8()), pa.array(key, pa.int64()), pa.array(seq, pa.binary())], ["shard", "salt", "kind", "key", "seq"])
+    shard, salt, kind, key, lead, seq = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(salt, pa.int64()), pa.array(kind, pa.int8()), pa.array(key, pa.int64()), pa.array(lead, pa.int32()), pa.array(seq, pa.binary())], ["shard", "salt", "kind", "key", "lead", "seq"])
+
 
+def _common(a: tuple, b: tuple) -> int:
+    """How many values two sequences begin with in common."""
+    if a == b:
+        return len(a)
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
-def _stream(phrase: int):
-    """Builds the automaton of each shard from the phrases that head it, and runs its documents through."""
+
+def _stream(phrase: int, reach: int):
+    """Builds the automaton of each shard from the phrases that head it, and runs its documents through.
+
+    A hit is extended word by word on both sides, as far as the document goes on like the canonical one."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton, ready = None, None, False
         for b in batches:
-            hit_h: list[int] = []
-            hit_doc: list[int] = []
-            hit_at: list[int] = []
-            for shard, salt, kind, key, seq in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "key", "seq")), strict=True):
+            hits: list[tuple[int, int, int, int, int]] = []
+            for shard, salt, kind, key, lead, seq in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "key", "lead", "seq")), strict=True):
                 if now != (shard, salt):
                     now, ready = (shard, salt), False
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
                 seq = tuple(np.frombuffer(seq, dtype=np.int32).tolist())
                 if kind == 0:
-                    automaton.add_word(seq, (*automaton.get(seq, ()), key))
+                    word = seq[lead : lead + phrase]
+                    automaton.add_word(word, (*automaton.get(word, ()), (key, seq[:lead][::-1], seq[lead + phrase :])))
                     continue
                 if not ready:
                     automaton.make_automaton()
                     ready = True
-                for end, keys in automaton.iter(seq):
-                    for k in keys:
-                        hit_h.append(k)
-                        hit_doc.append(key)
-                        hit_at.append(end - phrase + 1)
-            if hit_h:
-                yield pa.RecordBatch.from_arrays([pa.array(hit_h, pa.int64()), pa.array(hit_doc, pa.int64()), pa.array(hit_at, pa.int32())], ["h", "doc_id", "pos"])
+                for end, held in automaton.iter(seq):
+                    at = end - phrase + 1
+                    before, after = seq[max(0, at - reach) : at][::-1], seq[end + 1 : end + 1 + reach]
+                    hits += [(k, key, at, _common(before, left), _common(after, right)) for k, left, right in held]
+            if hits:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits, strict=True), kinds, strict=True)], ["h", "doc_id", "pos", "before", "after"])
 
     return stream
 
@@ -128,39 +166,50 @@ def recurring(spark: SparkSession, docs: DataFrame, phrase: int = PHRASE, passag
     """(doc_id, start_word, end_word, phrases, first_doc_id): every recurring passage in every document.
 
     A passage is a run of words made of phrases of ``phrase`` words, each of which stands in two
-    documents or more; words are compared without case and punctuation, and counted from 0.
-    Whatever run of ``passage`` words or more two documents share holds such a phrase, and its
-    span is reported in both, short by at most passage - phrase words at either end; shorter
-    shared runs are reported when one of their phrases is selected. first_doc_id is the least
-    document that holds a phrase of the span.
+    documents or more, and of the words about them that two documents share; words are compared
+    without case and punctuation, and counted from 0. Whatever run of ``passage`` words or more two
+    documents share holds such a phrase, and is reported in both; shorter shared runs are reported
+    wherever one of their phrases is selected in two documents. A phrase is extended by comparison
+    with the least document that holds it, first_doc_id; where two others share more about it than
+    either does with that one, their spans are short by up to passage - phrase words at an end.
 
     Phrases are selected by winnowing and confirmed by an automaton, never by hash alone: shards of
-    phrases become Aho-Corasick automata over words, and every document that shares a selected
-    phrase streams, whole, through the automata of its phrases. A shard takes the phrases of whole
-    documents, so a document goes to few shards; documents of a busy shard are split over salts.
-
-    Null and short texts hold no passage. Rows with a null doc_id are left out; texts under one
-    doc_id count as one document. A phrase that recurs only within a document isn't reported.
+    phrases become Aho-Corasick automata over words. All documents are searched for the phrases, at
+    every position; those that hold one stream, whole, through the automata of their phrases. A shard
+    takes the phrases of whole documents, so a document goes to few shards; documents of a busy shard
+    are split over salts.
+
+    Null and short texts hold no passage. Very long texts are searched whole. Rows with a null doc_id
+    are left out; texts under one doc_id count as one document, as do repeated rows. A phrase that
+    recurs only within a document isn't reported. Ties don't arise: spans of a document are apart.
     Only doc_id and text are read. An empty table gives no rows.
     """
     scratch = Scratch(spark)
+    reach = passage - phrase
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    marks = slim.mapInArrow(_select(phrase, passage - phrase + 1), "h long, doc_id long, pos int")
-    by_h = Window.partitionBy("h")
-    hits = marks.select("h", "doc_id", "pos", F.min("doc_id").over(by_h).alias("canon"), F.max("doc_id").over(by_h).alias("last")).where("canon <> last").drop("last")
-    hits = scratch.write(hits)
-    shards = max(1, -(-hits.where("doc_id = canon").count() // shard_phrases))
+    marks = slim.mapInArrow(_select(phrase, reach + 1), "h long, doc_id long, pos int")
+    # partial aggregates: a phrase may stand in any share of the documents
+    shared = marks.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    shared = scratch.write(shared.select("h", F.col("first.doc_id").alias("canon"), "first.pos"))
+    shards = max(1, -(-shared.count() // shard_phrases))
     shard = F.pmod(F.xxhash64("canon"), F.lit(shards)).alias("shard")
-    goes = hits.select("doc_id", shard).distinct()
+    passes = sieve(spark, shared.select("h"), hashes=2)
+    met = slim.mapInArrow(_meet(phrase, passes), "h long, doc_id long").join(shared.select("h", shard), "h")
+    goes = scratch.write(met.select("doc_id", "shard").distinct())
     busy = goes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(shard_docs)).cast("long").alias("salts"))
     routes = goes.join(busy, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"))).alias("shards"))
-    canonical = hits.where("doc_id = canon").groupBy("h", "canon").agg(F.min("pos").alias("pos")).select("h", "canon", "pos", shard)
-    canonical = canonical.join(busy, "shard").groupBy(F.col("canon").alias("doc_id")).agg(F.collect_list(F.struct("h", "pos", "shard", "salts")).alias("phrases"))
+    canonical = shared.select("h", "canon", "pos", shard).join(busy, "shard").groupBy(F.col("canon").alias("doc_id")).agg(F.collect_list(F.struct("h", "pos", "shard", "salts")).alias("phrases"))
     info = routes.join(canonical, "doc_id", "left")
-    rows = slim.join(info, "doc_id").select("doc_id", "text", "shards", "phrases").mapInArrow(_route(phrase), "shard long, salt long, kind byte, key long, seq binary")
-    found = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_stream(phrase), "h long, doc_id long, pos int")
-    sure = found.select("h", "doc_id", "pos", F.min("doc_id").over(by_h).alias("lo"), F.max("doc_id").over(by_h).alias("hi")).where("lo <> hi")
-    in_doc = Window.partitionBy("doc_id").orderBy("pos", "h")
-    runs = sure.withColumn("gap", F.when(F.col("pos") <= F.max("pos").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)) + F.lit(phrase), 0).otherwise(1))
+    rows = slim.join(info, "doc_id").select("doc_id", "text", "shards", "phrases").mapInArrow(_route(phrase, reach), _ROUTED)
+    found = scratch.write(rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_stream(phrase, reach), _FOUND))
+    # what the canonical document shares about a phrase is what the others share with it
+    canon = shared.select("h", "canon")
+    other = lambda c: F.max(F.when(F.col("doc_id") != F.col("canon"), F.col(c)))
+    sure = found.join(canon, "h").groupBy("h", "canon").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), other("before").alias("most_before"), other("after").alias("most_after")).where("lo <> hi")
+    sure = found.join(sure, "h")
+    reached = lambda c: F.when(F.col("doc_id") == F.col("canon"), F.least(c, f"most_{c}")).otherwise(F.col(c))
+    sure = sure.select("h", "doc_id", "lo", (F.col("pos") - reached("before")).alias("start"), (F.col("pos") + F.lit(phrase) + reached("after")).alias("end"))
+    in_doc = Window.partitionBy("doc_id").orderBy("start", "end", "h")
+    runs = sure.withColumn("gap", F.when(F.col("start") <= F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("gap").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run").agg(F.min("pos").alias("start_word"), (F.max("pos") + F.lit(phrase)).alias("end_word"), F.count_distinct("h").alias("phrases"), F.min("lo").alias("first_doc_id")).drop("run")
+    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.count_distinct("h").alias("phrases"), F.min("lo").alias("first_doc_id")).drop("run")

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 from .tokens import U64, grams, mix, words
 
 #: Edits (words inserted, deleted or replaced) allowed, as a share of the item's words.
 RATE = 0.2
-#: Walks, and sampled positions of each; with these a window at the edit bound is found with
-#: probability over 0.95 (measured in the tests).
-WALKS, SAMPLES, PICK = 12, 4, 3
-#: Items broadcast at a time, in words; a larger benchmark goes through in several passes.
-SHARD_WORDS = 500_000
-_SHORT = 4
+#: Chance with which a window at the edit bound is to be found; the number of walks follows from it.
+RECALL = 0.95
+#: Keys of each walk, and sampled positions of each key.
+SAMPLES, PICK = 4, 3
+#: Items broadcast at a time, in words (about 40 bytes each); a larger benchmark goes through in several passes.
+SHARD_WORDS = 2_000_000
+#: Items of fewer words match only a document that consists of them.
+SHORT = 4
 
 
 @dataclass
@@ -33,14 +36,16 @@ class Items:
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  #: by length: hashes, item, offset, filter
     sizes: np.ndarray  #: distinct item lengths
     keys: dict[int, tuple[np.ndarray, np.ndarray]]  #: by length: sorted LSH keys, item
+    walks: int
+    short: dict[bytes, list[int]]  #: by their word hashes: ids of the items of few words
 
 
 def edit_bound(n: int, rate: float) -> int:
     return int(n * rate)
 
 
-def cgk(seqs: np.ndarray) -> np.ndarray:
-    """CGK embeddings of word-hash sequences (m rows of equal length n): (3n, m, WALKS) symbols.
+def cgk(seqs: np.ndarray, walks: int) -> np.ndarray:
+    """CGK embeddings of word-hash sequences (m rows of equal length n): (3n, m, walks) symbols.
 
     At each step a walk writes the symbol under its pointer, which moves on or stays by a random
     bit of (walk, step, symbol); behind the end it writes 0. Sequences that agree again after an
@@ -49,9 +54,9 @@ def cgk(seqs: np.ndarray) -> np.ndarray:
     m, n = seqs.shape
     flat = np.concatenate([seqs, np.zeros((m, 1), dtype=U64)], 1).ravel()
     base = (np.arange(m) * (n + 1))[:, None]
-    at = np.broadcast_to(base, (m, WALKS)).copy()
-    coins = np.random.default_rng(n).integers(0, 2**63, (3 * n, WALKS), dtype=U64) * U64(2) + U64(1)
-    out = np.empty((3 * n, m, WALKS), dtype=U64)
+    at = np.broadcast_to(base, (m, walks)).copy()
+    coins = np.random.default_rng(n).integers(0, 2**63, (3 * n, walks), dtype=U64) * U64(2) + U64(1)
+    out = np.empty((3 * n, m, walks), dtype=U64)
     for j in range(3 * n):
         symbol = out[j] = flat[at]
         at += ((symbol * coins[j]) >> U64(63)).astype(np.int64)
@@ -59,24 +64,48 @@ def cgk(seqs: np.ndarray) -> np.ndarray:
     return out
 
 
-def lsh_keys(seqs: np.ndarray) -> np.ndarray:
-    """(m, WALKS * SAMPLES) keys: each the hash of PICK sampled positions of one walk's embedding.
+def lsh_keys(seqs: np.ndarray, walks: int) -> np.ndarray:
+    """(m, walks * SAMPLES) keys: each the hash of PICK sampled positions of one walk's embedding.
 
     Positions come from the first two thirds, which a walk has usually filled.
     """
     m, n = seqs.shape
-    e = cgk(seqs)
+    e = cgk(seqs, walks)
     rng = np.random.default_rng([n, 1])
-    out = np.empty((m, SAMPLES, WALKS), dtype=U64)
-    lane = np.arange(1, WALKS + 1, dtype=U64) * U64(0x2545F4914F6CDD1D)
+    out = np.empty((m, SAMPLES, walks), dtype=U64)
+    lane = np.arange(1, walks + 1, dtype=U64) * U64(0x2545F4914F6CDD1D)
     for s in range(SAMPLES):
-        k = np.broadcast_to(lane * U64(s + 1), (m, WALKS))
+        k = np.broadcast_to(lane * U64(s + 1), (m, walks))
         for p in np.sort(rng.choice(2 * n, min(PICK, 2 * n), replace=False)):
             k = mix(k * U64(0x9E3779B97F4A7C15) + e[p])
         out[:, s] = k
     return out.reshape(m, -1)
 
 
+@cache
+def walks_for(recall: float, rate: float) -> int:
+    """The least number of walks that finds a window at the edit bound with the given chance.
+
+    By simulation: random items of 40 words and copies of them with as many random edits as the
+    bound allows. For each pair the share of its walks that meet in a key is its chance a walk.
+    """
+    rng, n, pairs, most = np.random.default_rng(5), 40, 200, 96
+    one = rng.integers(1, 2**62, (pairs, n), dtype=np.int64).astype(U64)
+    two = np.zeros_like(one)
+    for i, row in enumerate(one.tolist()):
+        for _ in range(edit_bound(n, rate)):
+            at = int(rng.integers(len(row)))
+            new = int(rng.integers(1, 2**62))
+            (row.pop, lambda p: row.insert(p, new), lambda p: row.__setitem__(p, new))[rng.integers(3)](at)  # noqa: B023
+        two[i, : min(n, len(row))] = row[:n]
+    met = (lsh_keys(one, most) == lsh_keys(two, most)).reshape(pairs, SAMPLES, most).any(1).sum(1)
+    miss = 1 - (met + 0.5) / (most + 1)
+    walks = 1
+    while walks < 1000 and (1 - miss**walks).mean() < recall:
+        walks += 1
+    return walks
+
+
 def edits_within(item: np.ndarray, region: np.ndarray, bound: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the part of ``region`` nearest to ``item``, if within ``bound``.
 
@@ -100,12 +129,17 @@ def edits_within(item: np.ndarray, region: np.ndarray, bound: int) -> tuple[int,
     return (int(cost[end]), int(start[end]), end) if cost[end] <= bound else None
 
 
-def prepare(ids: list[int], texts: list[str], rate: float) -> Items:
+def prepare(ids: list[int], texts: list[str], rate: float, recall: float = RECALL) -> Items:
     seqs = []
     for w in words(pa.array(texts, pa.string())):
         b = w.row_bounds()
         seqs += [w.hash[b[i] : b[i + 1]].copy() for i in range(w.last - w.first)]
-    keep = [i for i, s in enumerate(seqs) if len(s) >= _SHORT]
+    keep = [i for i, s in enumerate(seqs) if len(s) >= SHORT]
+    short: dict[bytes, list[int]] = {}
+    for i, x in enumerate(seqs):
+        if 0 < len(x) < SHORT:
+            short.setdefault(x.tobytes(), []).append(ids[i])
+    walks = walks_for(recall, rate)
     ids_, seqs = np.array([ids[i] for i in keep], dtype=np.int64), [seqs[i] for i in keep]
     bound = np.array([edit_bound(len(s), rate) for s in seqs], dtype=np.int64)
     found: dict[int, list] = {}
@@ -125,11 +159,11 @@ def prepare(ids: list[int], texts: list[str], rate: float) -> Items:
     keys = {}
     for n in np.unique(lengths):
         own = np.flatnonzero(lengths == n)
-        k = lsh_keys(np.stack([seqs[i] for i in own]))
+        k = lsh_keys(np.stack([seqs[i] for i in own]), walks)
         flat, item = k.ravel(), np.repeat(own, k.shape[1])
         o = np.argsort(flat, kind="stable")
         keys[int(n)] = (flat[o], item[o])
-    return Items(ids_, seqs, bound, pieces, np.unique(lengths), keys)
+    return Items(ids_, seqs, bound, pieces, np.unique(lengths), keys, walks, short)
 
 
 def _lookup(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +264,7 @@ def find(items: Items, c: Candidates) -> list[tuple[int, int, int, int, int]]:
             for j, (r, s) in enumerate(part):
                 x = c.texts[r][s : s + n]
                 seqs[j, : len(x)] = x
-            keys = lsh_keys(seqs)
+            keys = lsh_keys(seqs, items.walks)
             sorted_, item = items.keys[n]
             i, j = _lookup(sorted_, keys.ravel())
             pairs.update((*part[w], t) for w, t in zip((i // keys.shape[1]).tolist(), item[j].tolist(), strict=True))
@@ -258,47 +292,73 @@ def _search(shared, schema):
         items = shared.value
         for b in batches:
             c = Candidates({}, {})
+            got = []
             for w in words(b.column(1)):
                 gather(items, w.hash, w.row - w.first, w.first, c)
-            got = find(items, c)
+                if items.short:
+                    first = w.row_bounds()
+                    for r in np.flatnonzero((np.diff(first) < SHORT) & (np.diff(first) > 0)).tolist():
+                        own = w.hash[first[r] : first[r + 1]]
+                        got += [(w.first + r, i, 0, 0, len(own)) for i in items.short.get(own.tobytes(), ())]
+            got += [(r, int(items.ids[i]), *rest) for r, i, *rest in find(items, c)]
             if got:
                 rows, which, edits, start, n = (np.array(x, dtype=np.int64) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(items.ids[which]), pa.array(edits), pa.array(start), pa.array(n)], ["doc_id", "item_id", "edits", "start_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(which), pa.array(edits), pa.array(start), pa.array(n)], ["doc_id", "item_id", "edits", "start_word", "n_words"])
 
     return search
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = [k for w in words(b.column(1)) for k in np.diff(w.row_bounds()).tolist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["item_id", "text", "n"])
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, edits, start_word, n_words): each benchmark item found in a document.
 
     An item is found where a part of the document is within rate x its words of it, in words
     inserted, deleted or replaced; words are compared without case and punctuation. The nearest
-    part is given, the first of equally near ones.
-
-    Items of fewer than 4 words, null items and null or wordless documents match nothing. Rows with
-    a null doc_id are left out; of repeated rows, or texts of one doc_id, the best match stays.
-    Items with equal texts or ids are each found. Other columns may have any name.
-
-    Items go to the executors in shards of bounded size, one pass over the documents for each;
-    a benchmark of up to half a million words is one shard.
+    part is given, the first of equally near ones. A part at the bound is found with a chance of
+    ``recall`` at least, from which the number of CGK walks follows; nearer ones more surely, and
+    exact copies always. Items of fewer than 4 words, which stand in any text by chance, are found
+    in documents that consist of nothing else.
+
+    Null or wordless items and documents match nothing. Very long texts are searched whole, items
+    of any length too. Rows with a null doc_id or item_id are left out; of repeated rows, or texts
+    of one doc_id, the best match stays. Items with equal texts or ids are each found. Other columns
+    may have any name. An empty table on either side gives no rows.
+
+    Items go to the executors in shards of at most one and a half times ``shard_words`` words, as
+    counted, or of a single item; there is one pass over the documents for each shard, so a
+    benchmark of up to two million words takes one.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    items = items.withColumn("w", F.size(F.split("text", r"\s+")))
-    shards = max(1, -(-(items.agg(F.sum("w")).first()[0] or 0) // shard_words))
+    items = Scratch(spark).write(items.mapInArrow(_count, "item_id long, text string, n long"))
+    have = items.agg(F.sum("n").alias("n"), F.count("*").alias("items")).first()
+    shards = max(1, -(-(have.n or 0) // shard_words))
+    shard = lambda k: F.pmod(F.xxhash64("item_id", "text"), F.lit(k))
+    while shards < have.items and items.groupBy(shard(shards).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("m")).where((F.col("m") > 1) & (F.col("n") > 1.5 * shard_words)).limit(1).count():
+        shards *= 2
     schema = "doc_id long, item_id long, edits long, start_word long, n_words long"
     out = None
-    if shards > 1:
-        items = Scratch(spark).write(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))))
     for k in range(shards):
-        rows = (items.where(F.col("shard") == k) if shards > 1 else items).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(prepare([r.item_id for r in rows], [r.text for r in rows], rate))
+        rows = items.where(shard(shards) == k).orderBy("item_id", "text").collect()
+        if not rows and k:
+            continue
+        shared = spark.sparkContext.broadcast(prepare([r.item_id for r in rows], [r.text for r in rows], rate, recall))
         found = slim.mapInArrow(_search(shared, schema), schema)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "n_words")).alias("m")).select("doc_id", "item_id", "m.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents in which a benchmark item is found; the others as they are."""
-    found = Scratch(spark).write(contaminated(spark, docs, benchmark, **options).select(F.col("doc_id").alias("__found")).distinct())
-    return docs.join(found, docs["doc_id"].cast("long") == found["__found"], "left_anti")
+    """``docs`` without the documents in which a benchmark item is found; the others as they are.
+
+    Rows with a null doc_id, and null or wordless texts, stay; every row of a found doc_id goes.
+    Other columns may have any name. An empty table stays empty.
+    """
+    name = fresh(docs, "found")[0]
+    found = Scratch(spark).write(contaminated(spark, docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(found, docs["doc_id"].cast("long") == found[name], "left_anti")

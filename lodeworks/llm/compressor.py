@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,16 +32,23 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(doc_id, text, kind) of at most ``per_class`` documents a class, and the size of the class.
+    """(doc_id, text, kind, size) of at most ``per_class`` documents a class, and the size of the class.
 
-    The choice is by hash of doc_id, so it doesn't depend on the order of rows.
+    The choice is by hash of doc_id, so it doesn't depend on the order of rows: of each class the
+    least, which every task picks from its own rows before they meet.
     """
     kind = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
     all_ = labels.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("kind")).where("kind is not null and doc_id is not null").distinct()
-    some = all_.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("doc_id"), "doc_id"))).withColumn("size", F.count("*").over(Window.partitionBy("kind"))).where(F.col("r") <= per_class)
+    sizes = {r.kind: r.n for r in all_.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # three rows at most
+    parts = []
+    for k, n in sorted(sizes.items()):
+        own = all_.where(F.col("kind") == k)
+        # the first of a total order: each task hands on per_class rows at most
+        parts.append(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).withColumn("size", F.lit(n)))
+    some = functools.reduce(DataFrame.unionByName, parts) if parts else all_.withColumn("size", F.lit(0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # at most 3 x per_class rows, so this side is always small
-    return texts.join(F.broadcast(some.drop("r")), "doc_id")
+    return texts.join(F.broadcast(some), "doc_id")
 
 
 def _words(texts: list[str]) -> Counter:
@@ -205,7 +213,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class:
     a document is rejected where it falls under ``threshold``. Null and empty texts have null
     scores and aren't rejected, as have all where the labels have no good or no bad document.
     Rows repeat as they do in ``docs``; rows with a null doc_id are scored too. Labels with a null
-    quality or toxic count only as far as the other one settles the class.
+    quality or toxic count only as far as the other one settles the class; a doc_id with labels of
+    two classes is in both, and one with several texts gives each. A very long text is compressed
+    whole, in chunks. A score equal to the threshold isn't rejected. Of other columns none is read.
+    An empty table gives no rows.
     """
     p = bad_probability(fit(spark, docs, labels, per_class))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), p(F.col("text").cast("string")).alias("p"))
@@ -214,7 +225,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class:
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that ``classify`` rejects; rows and columns otherwise as they are."""
+    """``docs`` without the documents that ``classify`` rejects; rows and columns otherwise as they are.
+
+    Null and empty texts and rows with a null doc_id are treated as there. An empty table stays empty.
+    """
     p = bad_probability(fit(spark, docs, labels, per_class))
     return docs.where(F.coalesce(_score(p(F.col("text").cast("string"))) >= threshold, F.lit(True)))
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -97,6 +97,7 @@ def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted: int) ->
     return out
 
 
+_PLACED = "vec_id long, cell int, v array<float>, asks boolean"
 _ROWS = "shard int, kind byte, vec_id long, cell int, v array<float>, probes binary"
 
 
@@ -106,32 +107,36 @@ def _assign(books):
         for b in batches:
             x = _matrix(b.column(1))
             cell = distances(x[:, :d], books[0]).argmin(1) * len(books[1]) + distances(x[:, d:], books[1]).argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), b.column(1)], ["vec_id", "cell", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), b.column(1), b.column(2)], ["vec_id", "cell", "v", "asks"])
 
     return assign
 
 
 def _probe(books, sizes: list[int], shard_of: np.ndarray, wanted: int):
-    """Each vector as an entry of its shard, and as a query to each shard that holds a probed cell."""
+    """Each vector as an entry of its shard, and those that ask to each shard that holds a probed cell."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = books[0].shape[1]
+        columns = ["shard", "kind", "vec_id", "cell", "v", "probes"]
         for b in batches:
+            n = b.num_rows
+            nothing = pa.array([b""] * n, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of[b.column("cell").to_numpy()].astype(np.int32)), pa.array(np.zeros(n, np.int8)), b.column("vec_id"), b.column("cell"), b.column("v"), nothing], columns)
+            b = b.filter(b.column("asks"))
+            n = b.num_rows
+            if not n:
+                continue
             x = _matrix(b.column("v"))
-            cell = b.column("cell").to_numpy()
-            n = len(cell)
             masks = np.zeros((n, len(shard_of)), dtype=np.uint8)
             d1, d2 = distances(x[:, :d], books[0]), distances(x[:, d:], books[1])
             for i in range(n):
                 masks[i, traverse(d1[i], d2[i], sizes, wanted)] = 1
             packed = np.packbits(masks, axis=1)
-            nothing = pa.array([b""] * n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of[cell].astype(np.int32)), pa.array(np.zeros(n, np.int8)), b.column("vec_id"), b.column("cell"), b.column("v"), nothing], ["shard", "kind", "vec_id", "cell", "v", "probes"])
             probes = pa.array([r.tobytes() for r in packed], pa.binary())
             for s in np.unique(shard_of):
                 at = pa.array(np.flatnonzero(masks[:, shard_of == s].any(1)))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(np.ones(len(at), np.int8)), b.column("vec_id").take(at), b.column("cell").take(at), b.column("v").take(at), probes.take(at)], ["shard", "kind", "vec_id", "cell", "v", "probes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(np.ones(len(at), np.int8)), b.column("vec_id").take(at), b.column("cell").take(at), b.column("v").take(at), probes.take(at)], columns)
 
     return probe
 
@@ -142,23 +147,32 @@ def _rerank(k: int, cells: int):
     def near(ids, entries, cell, q_ids, q, probes):
         mask = np.unpackbits(np.frombuffer(b"".join(probes), dtype=np.uint8).reshape(len(q_ids), -1), axis=1)[:, :cells].astype(bool)
         norm = (entries * entries).sum(1)
+        # how far float32 can be off, twice over
+        slack = 4 * entries.shape[1] * np.finfo(np.float32).eps * (norm.max() + 2 * np.sqrt((q * q).sum(1) * norm.max()))
         for a in range(0, len(q_ids), 256):
-            part, own = q[a : a + 256], q_ids[a : a + 256]
+            part = q[a : a + 256]
             d = norm - 2 * part @ entries.T
             d[~mask[a : a + 256][:, cell]] = np.inf
-            # some more than k, as float32 rounds, and the query itself may be among them
-            top = min(k + 9, len(ids))
-            best = np.argpartition(d, top - 1, axis=1)[:, :top]
-            r, c = np.nonzero(np.isfinite(np.take_along_axis(d, best, 1)))
-            e = best[r, c]
-            other = ids[e] != own[r]
-            r, e = r[other], e[other]
-            exact = np.sqrt(((part[r].astype(np.float64) - entries[e]) ** 2).sum(1))
-            order = np.lexsort((ids[e], exact, r))
-            r, e, exact = r[order], e[order], exact[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(own[r[keep]]), pa.array(ids[e[keep]]), pa.array(exact[keep])], ["vec_id", "neighbour_id", "distance"])
+            # the query itself may be among them; whatever can't be told from the last one by float32 is compared exactly
+            top = min(k + 1, len(ids))
+            last = np.partition(d, top - 1, axis=1)[:, top - 1]
+            close = (d <= (last + slack[a : a + 256])[:, None]) & np.isfinite(d)
+            ends = np.cumsum(close.sum(1))
+            at = 0
+            while at < len(part):  # some queries at a time, as equal vectors may be many
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, "right")))
+                yield exactly(ids, entries, q_ids[a + at : a + to], part[at:to], close[at:to])
+                at = to
+
+    def exactly(ids, entries, own, q, close):
+        r, e = np.nonzero(close)
+        other = ids[e] != own[r]
+        r, e = r[other], e[other]
+        exact = np.sqrt(((q[r].astype(np.float64) - entries[e]) ** 2).sum(1))
+        order = np.lexsort((ids[e], exact, r))
+        r, e, exact = r[order], e[order], exact[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return pa.RecordBatch.from_arrays([pa.array(own[r[keep]]), pa.array(ids[e[keep]]), pa.array(exact[keep])], ["vec_id", "neighbour_id", "distance"])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, index = None, [], None
@@ -181,17 +195,20 @@ def _rerank(k: int, cells: int):
     return rerank
 
 
-def neighbours(spark: SparkSession, vectors: DataFrame, k: int = K, share: float = SHARE, centroids: int = CENTROIDS, rounds: int = ROUNDS, shard: int = SHARD) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of every vector.
+def neighbours(spark: SparkSession, vectors: DataFrame, queries: Column | None = None, k: int = K, share: float = SHARE, centroids: int = CENTROIDS, rounds: int = ROUNDS, shard: int = SHARD) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of every vector that asks.
+
+    ``queries`` is a condition on vec_id; without it every vector asks. All vectors are indexed.
 
     The two halves of the vectors are quantised separately; their pairs of centroids are the cells
     of the index. A query goes through the cells in order of the summed distances of its halves,
     with a heap, until they hold ``share`` of all vectors, and reranks these by exact Euclidean
-    distance. rank counts from 1; equally near neighbours rank by vec_id.
+    distance. rank counts from 1; equally near neighbours, however many, rank by vec_id.
 
     Null vectors, those with nulls, NaN or infinities and those not of the commonest dimension are
     left out, as are null ids. Repeated rows of an id are one vector (of several, the least).
-    Fewer than k others give fewer rows; an empty table or a single vector gives none.
+    Fewer than k others give fewer rows; an empty table or a single vector gives none. Other columns
+    may have any name.
     """
     scratch = Scratch(spark)
     schema = "vec_id long, neighbour_id long, distance double"
@@ -202,7 +219,8 @@ def neighbours(spark: SparkSession, vectors: DataFrame, k: int = K, share: float
     else:
         books = codebooks(spark, rows, min(centroids, max(1, math.isqrt(n) // 2)), rounds)
         cells = len(books[0]) * len(books[1])
-        placed = scratch.write(rows.mapInArrow(_assign(books), "vec_id long, cell int, v array<float>"))
+        asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+        placed = scratch.write(rows.select("vec_id", "v", asks.alias("asks")).mapInArrow(_assign(books), _PLACED))
         sizes = [0] * cells
         for r in placed.groupBy("cell").count().collect():
             sizes[r.cell] = r["count"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
 import uuid
@@ -11,6 +10,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow import fs
 import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
@@ -150,8 +150,13 @@ def read_record(payload: bytes, frame: int, offset: int, length: int) -> bytes:
 
 
 def index(bundled: DataFrame) -> DataFrame:
-    """(record_id, page_id, bundle_id, frame, frame_offset, offset, length), one row a record."""
-    return bundled.select("bundle_id", F.explode("records").alias("r")).select("r.record_id", "r.page_id", "bundle_id", "r.frame", "r.frame_offset", "r.offset", "r.length")
+    """(record_id, page_id, bundle_id, frame, frame_offset, offset, length), one row a record id.
+
+    Equal pages have equal records under one id; of their places the least is given.
+    """
+    rows = bundled.select("bundle_id", F.explode("records").alias("r"))
+    place = F.struct("bundle_id", "r.frame", "r.frame_offset", "r.offset", "r.length", "r.page_id")
+    return rows.groupBy("r.record_id").agg(F.min(place).alias("p")).select("record_id", "p.page_id", "p.bundle_id", "p.frame", "p.frame_offset", "p.offset", "p.length")
 
 
 def read_back(bundled: DataFrame) -> DataFrame:
@@ -170,20 +175,22 @@ def read_back(bundled: DataFrame) -> DataFrame:
 
 
 def write_files(bundled: DataFrame, folder: str) -> DataFrame:
-    """Writes each bundle as <bundle_id>.warc.zst into a shared folder; (bundle_id, path, bytes).
+    """Writes each bundle as <bundle_id>.warc.zst into a shared folder, a path or a URI of any file system
+    that pyarrow knows; (bundle_id, path, bytes).
 
     Runs when the result is acted on. A file appears whole or not at all, so tasks may run again.
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files.create_dir(root, recursive=True)
         for b in batches:
             for name, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                path = f"{folder}/{name}.warc.zst"
+                path = f"{root}/{name}.warc.zst"
                 part = f"{path}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
+                with files.open_output_stream(part) as f:
                     f.write(payload)
-                os.replace(part, path)
-                yield pa.RecordBatch.from_pylist([{"bundle_id": name, "path": path, "bytes": len(payload)}])
+                files.move(part, path)
+                yield pa.RecordBatch.from_pylist([{"bundle_id": name, "path": f"{folder}/{name}.warc.zst", "bytes": len(payload)}])
 
     return bundled.select("bundle_id", "payload").mapInArrow(put, "bundle_id string, path string, bytes long")

@@ -34,11 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder. They cut lineage and outlive lost executors."""
+    """Intermediate tables in the shared folder. They cut lineage and outlive lost executors.
+
+    Operators drop those that no result reads; the others go when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lodeworks-{uuid.uuid4().hex}"
         self.n = 0
+        where, files = self._path(self.root)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+
+    def _path(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -48,11 +58,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no result still reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no result still reads."""
+        for df in tables:
+            where, files = self._path(df._scratch_path)
+            files.delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -123,8 +133,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
         small = large.join(low, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after_df = scratch.write(small)
-        scratch.drop(now)
-        scratch.drop(large)
+        scratch.drop(now, large)
         now, after = after_df, seal(after_df)
         if tuple(after) == tuple(before):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

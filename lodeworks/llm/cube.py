@@ -143,7 +143,7 @@ def _mixed(spark, docs, weights, tokens, seed, block, keep) -> DataFrame:
     totals = units.groupBy("source").agg(F.sum("tokens").alias("have"), F.ceil(F.count("*") / F.lit(block)).alias("parts"))
     weight = F.lit(1.0) if weights is None else F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
     totals = totals.withColumn("w", F.when(F.col("have") > 0, weight).otherwise(0.0))
-    totals = scratch.write(totals.withColumn("rate", F.when(F.col("w") > 0, F.col("have") / F.col("w"))))
+    totals = totals_ = scratch.write(totals.withColumn("rate", F.when(F.col("w") > 0, F.col("have") / F.col("w"))))
     weighted = totals.where("w > 0")
     total = F.lit(float(tokens)) if tokens is not None else F.greatest(F.sum("w") * F.min("rate"), F.lit(keep) * F.sum("have"))
     # the level, tokens for a weight of 1, at which the sources not taken whole fill up the total: sources of lower
@@ -162,6 +162,7 @@ def _mixed(spark, docs, weights, tokens, seed, block, keep) -> DataFrame:
     base = units.join(rates, units["source"].eqNullSafe(rates["s"])).withColumn("p", F.col("inclusion")).withColumn("unit", F.xxhash64("doc_id", "other", F.lit(seed)))
     base = base.withColumn("part", F.pmod(F.xxhash64("doc_id", "other"), F.col("parts")).cast("long")).select(*[c.split()[0] for c in schema.split(", ")])
     flown = scratch.write(base.groupBy("source", "part").applyInArrow(lambda t: _flight(t), schema))
+    scratch.drop(units, totals_, rates)
     open_ = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
     # what the blocks of a source leave is a few units a block; it flies and lands in one group
     landed = flown.where(open_).groupBy("source").applyInArrow(lambda t: _land(t), schema)

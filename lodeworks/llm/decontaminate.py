@@ -335,7 +335,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    items = Scratch(spark).write(items.mapInArrow(_count, "item_id long, text string, n long"))
+    scratch = Scratch(spark)
+    items = scratch.write(items.mapInArrow(_count, "item_id long, text string, n long"))
     have = items.agg(F.sum("n").alias("n"), F.count("*").alias("items")).first()
     shards = max(1, -(-(have.n or 0) // shard_words))
     shard = lambda k: F.pmod(F.xxhash64("item_id", "text"), F.lit(k))
@@ -350,6 +351,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
         shared = spark.sparkContext.broadcast(prepare([r.item_id for r in rows], [r.text for r in rows], rate, recall))
         found = slim.mapInArrow(_search(shared, schema), schema)
         out = found if out is None else out.unionByName(found)
+    scratch.drop(items)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "n_words")).alias("m")).select("doc_id", "item_id", "m.*")
 
 

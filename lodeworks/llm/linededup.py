@@ -162,15 +162,17 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FU
     thin = keyed.where(F.exists("keys", lambda k: k.isNotNull())).select("h", "h2", "n", *_SPOT, "line", "keys")
     flat = thin.select("h", "h2", "n", *_SPOT, "line", F.explode("keys").alias("key")).where(passes("key"))
     flat = flat.groupBy("h", "h2", "n").agg(F.min(F.struct(*_SPOT, "line")).alias("first"), F.collect_set("key").alias("keys"))
-    cand = scratch.write(flat)
-    exact = cand.select("h", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h").distinct()
-    cand = scratch.write(cand.join(exact, "h", "left_semi").select("first.line", "h", F.struct("first.doc_id", "first.line_no").alias("first")))
+    near_all = scratch.write(flat)
+    exact = near_all.select("h", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h").distinct()
+    cand = scratch.write(near_all.join(exact, "h", "left_semi").select("first.line", "h", F.struct("first.doc_id", "first.line_no").alias("first")))
+    scratch.drop(shared, near_all)
     rows = cand.select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows(min_fuzzy, min_words), "key long, kind byte, d long, l int")
     # keys that two lines have, from partial aggregates; the rows of these keys then meet the least line of each kind,
     # in a join that splits the rows of a hot key (a template with one word open) where it is skewed
     place = F.xxhash64("d", "l")
     twice = rows.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
-    passes = sieve_column(sieve(spark, scratch.write(twice)))
+    twice = scratch.write(twice)
+    passes = sieve_column(sieve(spark, twice))
     rows = scratch.write(rows.where(passes("key")).select("key", "kind", F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).alias("first")))
     mine = lambda *k: F.when(F.col("kind").isin(*k), F.col("first"))
     least = rows.groupBy("key").agg(*(F.min(mine(k, k + 3)).alias(f"m{k}") for k in range(3)))
@@ -179,6 +181,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FU
     # the partner's text, for the exact check
     pairs = best.join(cand.select("first", "h", "line"), "first").join(cand.select(F.col("first").alias("m"), F.col("line").alias("other")), "m")
     near = scratch.write(pairs.where(_apart(min_fuzzy, min_words)("line", "other")).select("h", "first", F.col("m").alias("near")))
+    scratch.drop(cand, twice, rows)
     partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near").where("near is not null or first <> last")
     found = lines.select(*_SPOT, "h", "h2", "n").join(partner, ["h", "h2", "n"])
     found = found.select(*_SPOT, F.coalesce("near", "first").alias("p"), F.col("near").isNotNull().cast("int").alias("edits"), spot.alias("own"))

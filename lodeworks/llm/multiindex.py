@@ -221,6 +221,7 @@ def neighbours(spark: SparkSession, vectors: DataFrame, queries: Column | None =
         cells = len(books[0]) * len(books[1])
         asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
         placed = scratch.write(rows.select("vec_id", "v", asks.alias("asks")).mapInArrow(_assign(books), _PLACED))
+        scratch.drop(rows)
         sizes = [0] * cells
         for r in placed.groupBy("cell").count().collect():
             sizes[r.cell] = r["count"]

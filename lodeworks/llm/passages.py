@@ -202,6 +202,7 @@ def recurring(spark: SparkSession, docs: DataFrame, phrase: int = PHRASE, passag
     info = routes.join(canonical, "doc_id", "left")
     rows = slim.join(info, "doc_id").select("doc_id", "text", "shards", "phrases").mapInArrow(_route(phrase, reach), _ROUTED)
     found = scratch.write(rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_stream(phrase, reach), _FOUND))
+    scratch.drop(goes)
     # what the canonical document shares about a phrase is what the others share with it
     canon = shared.select("h", "canon")
     other = lambda c: F.max(F.when(F.col("doc_id") != F.col("canon"), F.col(c)))

@@ -190,7 +190,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x) for x in zip(*got, strict=True))], ["doc_id", "text", "entities", "generalised", "removed"])
 
 
-def disclosures(spark: SparkSession, docs: DataFrame, held: DataFrame, support: int, smoothing: int, least: float) -> DataFrame:
+def disclosures(scratch: Scratch, docs: DataFrame, held: DataFrame, support: int, smoothing: int, least: float) -> DataFrame:
     """(key, term, share) of the terms that reveal an entity.
 
     By pointwise mutual information over documents: an entity in df(c) of N documents carries
@@ -202,8 +202,8 @@ def disclosures(spark: SparkSession, docs: DataFrame, held: DataFrame, support:
     pairs = held.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.key", F.explode("f.terms").alias("term")).distinct()
     entity = held.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.key").distinct().groupBy("key").agg(F.count("*").alias("dc"))
     both = pairs.groupBy("key", "term").agg(F.count("*").alias("both")).join(entity, "key").where((F.col("both") >= support) | (F.col("dc") < support))
-    both = Scratch(spark).write(both)
-    near = sieve(spark, both.select("term").distinct())
+    both = scratch.write(both)
+    near = sieve(scratch.spark, both.select("term").distinct())
     # words of all documents are counted as far as they stand by an entity somewhere
     term = docs.select("text").mapInArrow(_counts(near), "term long, n long").groupBy("term").agg(F.sum("n").alias("dt"))
     n = docs.agg(F.count("*").alias("docs"))
@@ -211,7 +211,9 @@ def disclosures(spark: SparkSession, docs: DataFrame, held: DataFrame, support:
     # rows of one document can make a term's count lag behind; it is in as many documents at least
     dt = F.greatest("dt", "both") + F.when(F.col("dc") < support, F.lit(smoothing)).otherwise(0)
     pmi = F.log2(F.col("docs") * F.col("both") / (F.col("dc") * dt))
-    return both.join(term, "term").crossJoin(n).where("docs > dc").select("key", "term", (pmi / ic).alias("share")).where(F.col("share") >= least)
+    told = scratch.write(both.join(term, "term").crossJoin(n).where("docs > dc").select("key", "term", (pmi / ic).alias("share")).where(F.col("share") >= least))
+    scratch.drop(both)
+    return told
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, smoothing: int = SMOOTHING, generalise_from: float = GENERALISE, remove_from: float = REMOVE) -> DataFrame:
@@ -234,7 +236,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, window: int = WINDOW, support
     scratch = Scratch(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     held = scratch.write(slim.mapInArrow(_extract(window), "doc_id long, text string, masks array<int>, found array<struct<key: bigint, terms: array<bigint>>>"))
-    told = scratch.write(disclosures(spark, slim, held, support, smoothing, generalise_from))
+    told = disclosures(scratch, slim, held, support, smoothing, generalise_from)
     keys = held.select("doc_id", F.explode("found.key").alias("key")).distinct()
     term = keys.join(told, "key").groupBy("doc_id", "term").agg(F.max("share").alias("share"))
     lists = term.groupBy("doc_id").agg(F.collect_list(F.when(F.col("share") < remove_from, F.col("term"))).alias("general"), F.collect_list(F.when(F.col("share") >= remove_from, F.col("term"))).alias("removed"))

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from lodeworks.llm import compressor, credentials, cube, decontaminate, linededup, multiindex, passages, sanitise, simhash, warc
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
-                      + [T.StructField(c, T.StringType()) for c in ("group_id", "h", "line", "key", "inclusion", "kind", "p", "__cut2")])
+                      + [T.StructField(c, T.StringType()) for c in ("group_id", "h", "line", "key", "inclusion", "kind", "p", "cut", "rest", "taken_id", "taken_p", "gone", "found", "again", "unit")])
 WORDS = [f"w{i}x" for i in range(3000)]
 LONG = " ".join(WORDS[i * i % 2999] for i in range(150_000))
 PASSAGE = " ".join(WORDS[100:180])
@@ -27,7 +27,7 @@ LABELS = "doc_id long, quality int, toxic int"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(*r, *["x"] * 8) for r in ROWS], SCHEMA)
+    return spark.createDataFrame([(*r, *["x"] * 15) for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +86,7 @@ def test_quality(spark, docs, none):
 
 def test_cube(spark, docs, none):
     got = cube.mix_sources(spark, docs).collect()
-    assert len(got) == 9 and {r.doc_id for r in got} == set(range(1, 9))
+    assert len(got) == 10 and {r.doc_id for r in got} == {None, *range(1, 9)}
     assert {(r.doc_id, r.tokens) for r in got} >= {(1, 0), (2, 0), (3, 0), (4, 81), (6, 150_000)}
     assert cube.mix_sources(spark, none).count() == 0
     taken = cube.draw(spark, docs)

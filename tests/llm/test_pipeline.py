@@ -10,7 +10,7 @@ from lodeworks.llm import compressor, decontaminate, simhash
 from lodeworks.llm.common import table
 from lodeworks.llm.tokens import words
 
-from .test_brute_force import corpus, levenshtein, norm
+from .test_brute_force import corpus, norm, one_edit
 
 
 def plant(spark, folder):
@@ -28,6 +28,7 @@ def plant(spark, folder):
             lines.insert(0, "the same first line everywhere")
         texts.append("\n".join(lines))
         labels.append((i, int(i % 6 != 5), 0))
+    texts[8] = "the same first line everywhere\n\n \t\u00a0\nthe same first line everywhere"  # nothing is left of it
     texts += [texts[0], " ".join(texts[1].replace("\n", " ").split()[::-1]), texts[2].replace("\n", " ").upper()]
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)] + [(900, None, "en", "s0", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
@@ -55,7 +56,7 @@ def brute_lines(docs):
         if t is None:
             out[i] = t
             continue
-        kept = [x for k, x in enumerate(t.split("\n")) if not any((d, n) < (i, k) and (y == x or min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) < 2 and levenshtein(x, y) == 1) for d, n, y in flat)]
+        kept = [x for k, x in enumerate(t.split("\n")) if not any((d, n) < (i, k) and (y == x or one_edit(x, y)) for d, n, y in flat)]
         if "".join(kept).strip():
             out[i] = "\n".join(kept)
     return out

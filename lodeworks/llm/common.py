@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,11 +102,6 @@ def sieve(spark: SparkSession, keys: DataFrame, hashes: int = 1, most: int = SIE
     return may_hold
 
 
-def sieve_column(may_hold):
-    """The test of ``sieve`` as a column function of a long column."""
-    return F.arrow_udf(lambda h: pa.array(may_hold(h.to_numpy(zero_copy_only=False))), "boolean")
-
-
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root being the least id of its component.
 

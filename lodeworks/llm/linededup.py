@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,16 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, sieve, sieve_column
-from .tokens import _BASE, _INVERSE, U64, mix, powers
+from .common import Scratch, fresh, sieve
+from .tokens import _BASE, _INVERSE, CHUNK_BYTES, U64, buffers, mix, powers
 
 #: Lines of fewer characters than MIN_FUZZY, or of fewer words than MIN_WORDS, aren't compared by edits of
 #: characters, or of words: one edit changes too much of them.
 MIN_FUZZY, MIN_WORDS = 20, 8
 #: A character that isn't white space, in the regular expressions of Java and of RE2.
 SOLID = r"[^\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]"
-#: Lines of fewer words share halves by characters, longer ones by words.
-_FEW = 5
+#: Parts into which lines that share a half are cut, all but one of which they then have to share.
+_BLOCKS = 8
 _SPOT = "doc_id", "line_no"
 
 
@@ -30,26 +31,114 @@ def _lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), F.length("line").alias("n"))
 
 
-def _half_keys() -> F.Column:
-    """Hashes of an intact half, for each length that the shorter of two partners can have.
+@dataclass
+class Lines:
+    """The lines of some rows, in order, as places in the bytes of these rows."""
 
-    One edit of a character or a word leaves either the first or the last half of the shorter line as it
-    was, so partners agree on a key made of its length, the side and the half. An edit of a character
-    changes the number of words by one at most, so halves of words serve for it too, unless the shorter
-    line has hardly any words.
+    row: np.ndarray
+    number: np.ndarray  #: of the line in its row, from 0
+    start: np.ndarray
+    end: np.ndarray
+    data: np.ndarray
+    hash: np.ndarray
+    chars: np.ndarray
+    words: np.ndarray
+    keys: np.ndarray  #: (lines, 8)
+    fits: np.ndarray  #: which of the keys a line has
+
+
+def split_lines(texts: pa.Array, min_fuzzy: int, min_words: int) -> Iterator[Lines]:
+    """Lines of a string array with the keys of their intact halves, on whole buffers, without an object a line.
+
+    One edit of a character or a word leaves either the first or the last half of the shorter of two
+    lines as it was, so partners agree on a key made of the length of the shorter one, the side and
+    the half; a line has keys for its own length and the next less one. An edit of a character
+    changes the number of words by one at most, so halves of words serve for it too; only where the
+    shorter line has hardly any words it takes halves of characters.
     """
+    offsets, data = buffers(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
+        last = min(last, len(texts))
+        lo, hi = int(offsets[first]), int(offsets[last])
+        yield _lines_of(data[lo:hi], offsets[first : last + 1] - lo, first, min_fuzzy, min_words)
+        first = last
+
+
+def _lines_of(data: np.ndarray, offsets: np.ndarray, first: int, min_fuzzy: int, min_words: int) -> Lines:
+    feeds = np.flatnonzero(data == 10)
+    count = np.diff(np.searchsorted(feeds, offsets)) + 1
+    start, end = np.sort(np.concatenate((offsets[:-1], feeds + 1))), np.sort(np.concatenate((feeds, offsets[1:])))
+    row = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    letters = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    spaces = np.flatnonzero(data == 32)
+    c0, s0 = np.searchsorted(letters, start), np.searchsorted(spaces, start)
+    chars, gaps = np.searchsorted(letters, end) - c0, np.searchsorted(spaces, end) - s0
+    keep = (chars >= min_fuzzy) | (gaps + 1 >= min_words)
+    row, number, start, end, c0, s0, chars, gaps = (x[keep] for x in (row, number, start, end, c0, s0, chars, gaps))
+    words = gaps + 1
+    n = len(data)
+    total = np.zeros(n + 1, dtype=U64)
+    np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, n), out=total[1:])
+    inverse = powers(_INVERSE, n + 1)
+
+    def hashed(a: np.ndarray, z: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mix(((total[z] - total[a]) * inverse[a]) ^ mix(((z - a).astype(U64) << U64(32)) ^ salt.astype(U64)))
+
+    keys, fits = np.zeros((len(row), 8), dtype=np.int64), np.zeros((len(row), 8), dtype=bool)
+    letters, spaces = np.append(letters, n), np.append(spaces, n)
+    for less in (0, 1):
+        size = chars - less
+        half = np.maximum(size // 2, 0)
+        few = words <= min_words
+        for side, (a, z) in enumerate(((start, letters[c0 + half]), (letters[c0 + chars - half], end))):
+            z = np.where(half == 0, a, z)
+            keys[:, 2 * less + side] = hashed(a, np.maximum(z, a), size * 4 + side).view(np.int64)
+            fits[:, 2 * less + side] = few
+        size = words - less
+        half = size // 2
+        many = size >= max(min_words, 2)
+        some = np.where(many, half, 1)  # at least one space is there where it counts
+        at = lambda k: spaces[np.minimum(k, len(spaces) - 1)]
+        for side, (a, z) in enumerate(((start, at(s0 + some - 1)), (at(s0 + gaps - some) + 1, end))):
+            a, z = np.where(many, a, start), np.where(many, z, start)
+            keys[:, 4 + 2 * less + side] = hashed(a, z, size * 4 + 2 + side).view(np.int64)
+            fits[:, 4 + 2 * less + side] = many
+    return Lines(row + first, number, start, end, data, hashed(start, end, np.zeros(len(start), np.int64)).view(np.int64), chars, words, keys, fits)
+
+
+def _half_rows(min_fuzzy: int, min_words: int):
+    """(key, h) of the halves of each line; h tells lines apart."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in split_lines(b.column(0), min_fuzzy, min_words):
+                if len(x.row):
+                    r, c = np.nonzero(x.fits)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.keys[r, c]), pa.array(x.hash[r])], ["key", "h"])
+
+    return rows
+
 
-    def chars(length):
-        half = (length / 2).cast("int")
-        return F.array(F.xxhash64(F.lit(1), length, F.substring("line", F.lit(1), half)), F.xxhash64(F.lit(2), length, F.substring(F.col("line"), F.col("n") - half + 1, half)))
+def _likely(min_fuzzy: int, min_words: int, may_hold):
+    """(doc_id, line_no, line, keys) of the lines with a key that may be shared."""
 
-    def of_words(d):
-        k = f"cast((w - {d}) div 2 as int)"
-        return F.expr(f"array(xxhash64(3, w - {d}, substring_index(line, ' ', {k})), xxhash64(4, w - {d}, substring_index(line, ' ', -{k})))")
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in split_lines(b.column(1), min_fuzzy, min_words):
+                ok = x.fits.copy()
+                r, c = np.nonzero(ok)
+                ok[r, c] = may_hold(x.keys[r, c])
+                hit = np.flatnonzero(ok.any(1))
+                if len(hit):
+                    raw = x.data.tobytes()
+                    line = [raw[a:z] for a, z in zip(x.start[hit].tolist(), x.end[hit].tolist(), strict=True)]
+                    keys = [k[f].tolist() for k, f in zip(x.keys[hit], ok[hit], strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row[hit])), pa.array(x.number[hit].astype(np.int32)), pa.array(line, pa.binary()).cast(pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "line_no", "line", "keys"])
 
-    none, w = F.array().cast("array<bigint>"), F.col("w")
-    few = F.when(w <= _FEW, F.concat(chars(F.col("n")), chars(F.col("n") - 1))).otherwise(none)
-    return F.concat(few, F.when(w >= _FEW, of_words(0)).otherwise(none), F.when(w > _FEW, of_words(1)).otherwise(none))
+    return likely
 
 
 def _pieces(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +170,43 @@ def _rows(pieces: tuple[np.ndarray, np.ndarray, np.ndarray], kind: int) -> tuple
     return (mix(key ^ U64(kind)) if kind else key).view(np.int64), np.repeat(np.array([kind, kind + 1, kind + 2], dtype=np.int8), [len(cut), 1, head.sum()])
 
 
+def _block_keys(parts, join) -> list[int]:
+    """Hashes of a sequence without each of its blocks, for each length that the shorter of two partners can have.
+
+    One edit touches one block, so partners agree on a key made of that length, the block and all the rest.
+    """
+    n, out = len(parts), []
+    for size in (n, n - 1):
+        for i in range(_BLOCKS):
+            a, z = i * size // _BLOCKS, (i + 1) * size // _BLOCKS
+            rest = f"{size} {i} {join(parts[:a])}\0{join(parts[n - size + z :])}"
+            out.append(xxhash.xxh64_intdigest(rest.encode("utf-8", "surrogatepass")) - (1 << 63))
+    return out
+
+
+def _blocks(min_fuzzy: int, min_words: int):
+    """(key, h, words, w): the keys of each line by characters and by words, and how many words it has."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, h, words, w = [], [], [], []
+            for line, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                made = [_block_keys(line, str)] if len(line) >= min_fuzzy else []
+                pieces = line.split(" ")
+                made.append(_block_keys(pieces, " ".join) if len(pieces) >= min_words else [])
+                for k, keys in enumerate(made if len(made) > 1 else [[], *made]):
+                    key += keys
+                    h += [x] * len(keys)
+                    words += [k == 1] * len(keys)
+                    w += [len(pieces)] * len(keys)
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.int64()), pa.array(words), pa.array(w, pa.int32())], ["key", "h", "words", "w"])
+
+    return blocks
+
+
 def _variant_rows(min_fuzzy: int, min_words: int):
-    """(key, kind, d, l): kinds 0 to 2 of characters, 3 to 5 of words; d and l are the document and number of the line."""
+    """(key, kind, d, l): kinds 0 to 2 of characters, 3 to 5 of words, as far as wanted; d and l are the document and number of the line."""
 
     def batch(parts):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "kind", "d", "l"])
@@ -90,12 +214,11 @@ def _variant_rows(min_fuzzy: int, min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for b in batches:
-            for line, d, n in zip(b.column(0).to_pylist(), *(c.to_numpy() for c in b.columns[1:]), strict=True):
-                made = [_rows(variants(line), 0)] if len(line) >= min_fuzzy else []
-                # one more word can be taken out of the longer of two partners
-                made += [_rows(word_variants(line), 3)] if line.count(" ") + 1 >= min_words else []
+            for line, d, n, chars, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                made = [_rows(variants(line), 0)] if chars and len(line) >= min_fuzzy else []
+                made += [_rows(word_variants(line), 3)] if words and line.count(" ") + 1 >= min_words else []
                 for key, kind in made:
-                    parts.append((key, kind, np.full(len(key), d), np.full(len(key), n)))
+                    parts.append((key, kind, np.full(len(key), d, np.int64), np.full(len(key), n, np.int32)))
                     size += len(key)
                 if size > 1 << 18:
                     yield batch(parts)
@@ -146,42 +269,49 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_fuzzy: int = MIN_FU
     partners at any distance the earliest counts. Very long texts and lines are taken whole. Only
     doc_id and text are read. An empty table gives no rows.
 
-    The deletion neighbourhood is emitted only for lines that share an intact half with another
-    line of a fitting length, which is necessary for one edit; nothing is lost by that. A line's
-    partner comes from the least line of each variant, so no pairs of a group are made.
+    The deletion neighbourhood is emitted only for lines that share an intact half, and then all but
+    one of eight blocks, with another line of a fitting length, which is necessary for one edit;
+    nothing is lost by that. A line's partner comes from the least line of each variant, so no pairs
+    of a group are made.
     """
     scratch = Scratch(spark)
     lines = _lines(docs)
     spot = F.struct(*_SPOT)
     firsts = scratch.write(lines.groupBy("h", "h2", "n").agg(F.min(spot).alias("first"), F.max(spot).alias("last")))
-    keyed = lines.withColumn("w", F.size(F.split("line", " "))).where((F.col("n") >= min_fuzzy) | (F.col("w") >= min_words)).withColumn("keys", F.array_distinct(_half_keys()))
-    shared = keyed.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    shared = scratch.write(shared)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    halves = slim.select("text").mapInArrow(_half_rows(min_fuzzy, min_words), "key long, h long")
+    shared = scratch.write(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
     # lines with such a key, once each with the place where they first stand: those that pass the sieve, then exactly
-    passes = sieve_column(sieve(spark, shared))
-    thin = keyed.where(F.exists("keys", lambda k: k.isNotNull())).select("h", "h2", "n", *_SPOT, "line", "keys")
-    flat = thin.select("h", "h2", "n", *_SPOT, "line", F.explode("keys").alias("key")).where(passes("key"))
-    flat = flat.groupBy("h", "h2", "n").agg(F.min(F.struct(*_SPOT, "line")).alias("first"), F.collect_set("key").alias("keys"))
-    near_all = scratch.write(flat)
+    may_hold = sieve(spark, shared)
+    likely = slim.mapInArrow(_likely(min_fuzzy, min_words, may_hold), "doc_id long, line_no int, line string, keys array<long>").where(F.col("line").rlike(SOLID))
+    # equal lines have equal keys
+    near_all = likely.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2")).agg(F.min(F.struct(*_SPOT, "line", "keys")).alias("first"))
+    near_all = scratch.write(near_all.select("h", "first", "first.keys"))
     exact = near_all.select("h", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h").distinct()
     cand = scratch.write(near_all.join(exact, "h", "left_semi").select("first.line", "h", F.struct("first.doc_id", "first.line_no").alias("first")))
     scratch.drop(shared, near_all)
-    rows = cand.select("line", "first.doc_id", "first.line_no").mapInArrow(_variant_rows(min_fuzzy, min_words), "key long, kind byte, d long, l int")
-    # keys that two lines have, from partial aggregates; the rows of these keys then meet the least line of each kind,
-    # in a join that splits the rows of a hot key (a template with one word open) where it is skewed
-    place = F.xxhash64("d", "l")
-    twice = rows.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
-    twice = scratch.write(twice)
-    passes = sieve_column(sieve(spark, twice))
-    rows = scratch.write(rows.where(passes("key")).select("key", "kind", F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).alias("first")))
+    # of these, lines that share all but one of some blocks with another
+    blocks = scratch.write(cand.select("line", "h").mapInArrow(_blocks(min_fuzzy, min_words), "key long, h long, words boolean, w int"))
+    # an edit of a character within a word is one of the word; by characters only lines of few words, or of
+    # different numbers of words, have to be compared
+    open_ = F.col("words") | (F.col("w_lo") < min_words) | (F.col("w_lo") < F.col("w_hi"))
+    twice = blocks.groupBy("key", "words").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("w").alias("w_lo"), F.max("w").alias("w_hi")).where((F.col("lo") != F.col("hi")) & open_).select("key")
+    flags = blocks.join(twice, "key", "left_semi").groupBy("h").agg(F.max(~F.col("words")).alias("by_chars"), F.max("words").alias("by_words"))
+    cand_ = cand
+    cand = scratch.write(cand.join(flags, "h"))
+    scratch.drop(cand_, blocks)
+    rows = cand.select("line", "first.doc_id", "first.line_no", "by_chars", "by_words").mapInArrow(_variant_rows(min_fuzzy, min_words), "key long, kind byte, d long, l int")
+    rows = scratch.write(rows.select("key", "kind", F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).alias("first")))
+    # the rows of a key meet the least line of each kind, in a join that splits those of a hot key (a template with
+    # one word open) where it is skewed
     mine = lambda *k: F.when(F.col("kind").isin(*k), F.col("first"))
-    least = rows.groupBy("key").agg(*(F.min(mine(k, k + 3)).alias(f"m{k}") for k in range(3)))
+    least = rows.groupBy("key").agg(*(F.min(mine(k, k + 3)).alias(f"m{k}") for k in range(3)), F.count("*").alias("many")).where("many > 1")
     seen = rows.join(least, "key").select("first", F.when(F.col("kind").isin(0, 3), F.col("m0")).when(F.col("kind").isin(1, 4), F.col("m2")).otherwise(F.col("m1")).alias("m"))
     best = seen.where("m < first").groupBy("first").agg(F.min("m").alias("m"))
     # the partner's text, for the exact check
     pairs = best.join(cand.select("first", "h", "line"), "first").join(cand.select(F.col("first").alias("m"), F.col("line").alias("other")), "m")
     near = scratch.write(pairs.where(_apart(min_fuzzy, min_words)("line", "other")).select("h", "first", F.col("m").alias("near")))
-    scratch.drop(cand, twice, rows)
+    scratch.drop(cand, rows)
     partner = firsts.join(near, ["h", "first"], "left").select("h", "h2", "n", "first", "near").where("near is not null or first <> last")
     found = lines.select(*_SPOT, "h", "h2", "n").join(partner, ["h", "h2", "n"])
     found = found.select(*_SPOT, F.coalesce("near", "first").alias("p"), F.col("near").isNotNull().cast("int").alias("edits"), spot.alias("own"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ SCHEMA = ", ".join([
 ])
 _VERBS = frozenset("WEBSOCKET ROUTE DELETE PATCH PUT POST GET".split())
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Names of module state.
+_STATE = re.compile("(state|cache|registry)$", re.I)
 
 
 def _text(node: ast.AST | None) -> str:
@@ -157,14 +160,13 @@ def _is_guard(test: ast.AST) -> bool:
     return isinstance(test, ast.Compare) and _text(test.left) == "__name__" and isinstance(test.comparators[0], ast.Constant) and test.comparators[0].value == "__main__"
 
 
-def extract(path: str, role: str | None, content: str | None) -> dict:
+def extract(path: str, role: str | None, content: str | None, gitignored: bool | None = False) -> dict:
     """The record (SCHEMA) of one file; what doesn't parse gives an empty one of confidence 0.2."""
     r: dict = {"path": path, "confidence": 0.96, **{c: [] for c in _LISTS}, "import_details": [], "function_details": [], "class_details": [], "routes": []}
     try:
         tree = ast.parse(content or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return r | {"confidence": 0.2, "short_doc_summary": "Not valid Python; only its path is known.", "notes": [f"syntax-error:{getattr(e, 'msg', type(e).__name__)}"]}
-    exports: list[tuple[str, str]] = []
 
     def section(kind: str) -> None:
         if r["file_structure"][-1:] != [kind]:
@@ -176,7 +178,7 @@ def extract(path: str, role: str | None, content: str | None) -> dict:
             if isinstance(n, ast.Import):
                 for a in n.names:
                     r["imports"].append(a.name)
-                    r["import_details"].append({"module": a.name, "kind": "import", "is_relative": False, "is_dynamic": False, "names": [], "aliases": [a.asname] if a.asname else []})
+                    r["import_details"].append({"module": a.name, "kind": "import", "is_relative": False, "is_dynamic": False, "names": [], "aliases": [a.asname or a.name.split(".")[-1]]})
             else:
                 module = "." * n.level + (n.module or "")
                 r["imports"].append(module)
@@ -188,8 +190,8 @@ def extract(path: str, role: str | None, content: str | None) -> dict:
             r["function_details"].append(_function(n))
             r["decorators"] += _decorators(n)
             r["routes"] += _routes(n)
-            exports += [(n.name, "function")] * (not n.name.startswith("_"))
-            r["state_signals"] += [n.name] * any(t in n.name.lower() for t in ("store", "state", "session", "cache"))
+            r["exports"] += [n.name] * (not n.name.startswith("_"))
+            r["state_signals"] += [n.name] * bool(_STATE.search(n.name))
         elif isinstance(n, ast.ClassDef):
             section("classes")
             own = [c.name for c in n.body if isinstance(c, _FUNCTIONS)]
@@ -200,29 +202,27 @@ def extract(path: str, role: str | None, content: str | None) -> dict:
             r["decorators"] += _decorators(n)
             r["class_details"].append({"name": n.name, "bases": [t for b in n.bases if (t := _text(b))], "methods": own, "decorators": _decorators(n), "attributes": attributes})
             r["models_or_schemas"] += [n.name] * _is_model(n)
-            for c in n.body:
-                if isinstance(c, _FUNCTIONS):
-                    r["decorators"] += _decorators(c)
-                    r["routes"] += _routes(c)
-            exports += [(n.name, "class")] * (not n.name.startswith("_"))
         elif isinstance(n, (ast.Assign, ast.AnnAssign)):
-            section("constants")
+            section("assignments")
             names = [x for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) for x in _names(t)]
             r["top_level_symbols"] += names
-            exports += [(x, "constant") for x in names if x.isupper()]
+            r["exports"] += filter(str.isupper, names)
+            r["state_signals"] += filter(_STATE.search, names)
         elif isinstance(n, ast.If) and _is_guard(n.test):
-            section("main_guard")
-            r["notes"].append("has_main_guard")
+            r["notes"] = ["has_main_guard"]
     s = _signals(tree)
     flows: list[str] = []
     _flows(tree, "module", flows)
     for module in s["dynamic"]:
         r["imports"].append(module)
-        r["import_details"].append({"module": module, "kind": "dynamic", "is_relative": module.startswith("."), "is_dynamic": True, "names": [], "aliases": []})
+        r["import_details"].append({"module": module, "kind": "dynamic", "is_relative": False, "is_dynamic": True, "names": [], "aliases": []})
     doc = (ast.get_docstring(tree) or "").strip()
-    r |= {"exports": _distinct(x for x, _ in exports), "export_styles": _distinct(k for _, k in exports), "call_targets": s["calls"], "raised_exceptions": s["raises"], "type_references": s["types"], "dynamic_imports": s["dynamic"], "data_flow_edges": _distinct(flows)}
+    if gitignored:
+        r["notes"].append("gitignored_but_preserved")
+    r |= {"export_styles": ["named"] if r["exports"] else [], "call_targets": s["calls"], "raised_exceptions": s["raises"], "type_references": s["types"], "dynamic_imports": s["dynamic"], "data_flow_edges": _distinct(flows)}
     r["instantiated_classes"] = _distinct(c for c in s["calls"] if c.rsplit(".", 1)[-1][:1].isupper())
-    for c in ("imports", "top_level_symbols", "classes", "functions", "methods", "decorators", "models_or_schemas", "state_signals"):
+    # definitions stay in the order of the source; the rest are sets
+    for c in ("imports", "exports", "top_level_symbols", "decorators", "models_or_schemas", "state_signals"):
         r[c] = _distinct(r[c])
     return r | {"short_doc_summary": doc.splitlines()[0] if doc else f"Python {role or 'source'} module."}
 
@@ -234,20 +234,36 @@ def _arrow_schema() -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(SCHEMA))
 
 
+#: Language -> function of (path, role, content, gitignored) that gives a record; ``register`` adds one.
+EXTRACTORS: dict[str, Callable[..., dict]] = {"python": extract}
+
+
+def register(language: str, extractor: Callable[..., dict]) -> None:
+    """Files of ``language`` get their records from ``extractor``. Fields that it leaves out are empty."""
+    EXTRACTORS[language] = extractor
+
+
+def _complete(record: dict) -> dict:
+    return {"confidence": 0.0, "short_doc_summary": "", **{c: [] for c in (*_LISTS, "import_details", "function_details", "class_details", "routes")}} | record
+
+
 def records(files: DataFrame) -> DataFrame:
-    """Records (SCHEMA) of files (path, role, content); rows with a null path have none."""
-    schema = _arrow_schema()
+    """Records (SCHEMA) of files (path, role, content, and language and gitignored if there), by the extractor
+    of their language, Python where it isn't given. Rows with a null path, or of other languages, have none."""
+    schema, known = _arrow_schema(), dict(EXTRACTORS)
+    optional = {"language": F.lit("python"), "gitignored": F.lit(False)}
+    files = files.select("path", "role", "content", *(F.col(c) if c in files.columns else v.alias(c) for c, v in optional.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [extract(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows = [_complete(known[lang](path, role, text, ignored)) for path, role, text, lang, ignored in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.where("path is not null").select("path", "role", "content").mapInArrow(run, SCHEMA)
+    return files.where(F.col("path").isNotNull() & F.col("language").isin(*known)).mapInArrow(run, SCHEMA)
 
 
 #: kind of fact -> list column
-FACTS = {"import": "imports", "class": "classes", "function": "functions", "method": "methods", "export": "exports", "decorator": "decorators", "model": "models_or_schemas", "call": "call_targets", "instantiates": "instantiated_classes", "raises": "raised_exceptions", "type": "type_references", "dynamic": "dynamic_imports", "flow": "data_flow_edges"}
+FACTS = {"import": "imports", "class": "classes", "function": "functions", "method": "methods", "export": "exports", "decorator": "decorators", "model": "models_or_schemas", "call": "call_targets", "instantiates": "instantiated_classes", "raises": "raised_exceptions", "type": "type_references", "dynamic": "dynamic_imports", "flow": "data_flow_edges", "state": "state_signals"}
 
 
 def facts(extracted: DataFrame) -> DataFrame:

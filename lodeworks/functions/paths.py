@@ -187,6 +187,11 @@ def unique_sorted(values: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(_col(values), lambda v: v != "")))
 
 
+def unique_ordered(values: Column | str) -> Column:
+    """Each value once, where it stands first; empty ones go."""
+    return F.array_distinct(F.filter(_col(values), lambda v: v != ""))
+
+
 def join_limited(values: Column | str, limit: int) -> Column:
     """Comma-separated, at most ``limit`` of them, and how many more there are."""
     v = _col(values)

@@ -45,13 +45,22 @@ def diff_chars(changed: DataFrame, affected: DataFrame) -> DataFrame:
     return n(changed, "c").crossJoin(n(affected, "a")).select((F.lit(600) + 3 * F.col("c") + F.col("a")).alias("diff_chars"))
 
 
-def payload(skills: DataFrame, evidence_of: dict[str, DataFrame]) -> DataFrame:
-    """(name, kind, items): for each skill (name, source_evidence), the items (key, evidence) of each
-    kind that share evidence with it."""
+def payload(skills: DataFrame, items_of: dict[str, DataFrame]) -> DataFrame:
+    """(name, kind, items, chars): for each skill (name, source_evidence), the items (key, evidence, chars) of
+    each kind that share evidence with it, in order of key, and the characters they take."""
     want = skills.select("name", F.explode("source_evidence").alias("path")).distinct()
     out = None
-    for kind, items in evidence_of.items():
-        has = items.select("key", F.explode("evidence").alias("path")).distinct()
-        one = want.join(has, "path").groupBy("name").agg(F.array_sort(F.collect_set("key")).alias("items")).select("name", F.lit(kind).alias("kind"), "items")
+    for kind, items in items_of.items():
+        has = items.select("key", "chars", F.explode("evidence").alias("path"))
+        met = want.join(has, "path").select("name", "key", "chars").distinct()
+        one = met.groupBy("name").agg(F.array_sort(F.collect_set("key")).alias("items"), F.sum("chars").alias("chars")).select("name", F.lit(kind).alias("kind"), "items", "chars")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def calls(skills: DataFrame, items_of: dict[str, DataFrame], shared_chars: int) -> DataFrame:
+    """(name, input_chars, output_chars) of the call for each skill (name, source_evidence, chars): ``shared_chars``,
+    the skill itself, and its payload."""
+    more = payload(skills, items_of).groupBy("name").agg(F.sum("chars").alias("more"))
+    rows = skills.join(more, "name", "left")
+    return rows.select("name", (F.lit(shared_chars) + F.col("chars") + F.coalesce("more", F.lit(0))).cast("long").alias("input_chars"), output_chars("name", F.size("source_evidence")).alias("output_chars"))

@@ -57,20 +57,24 @@ def relevant_rules(rules: DataFrame, skills: DataFrame, k: int = 8, fallback: in
     tokens and confidence; the best k, or the first rules where none scores.
 
     Rules meet skills (name, text, read_files) over shared paths and tokens, an equi-join whose rows
-    count the overlap, so pairs that share nothing never arise.
+    count the overlap. A rule that shares nothing scores by its confidence alone, the same for every
+    skill, so of all rules that share nothing with a skill only the k best by confidence can be among its
+    best k: these k, k rows, meet every skill.
     """
     every = rules.select(F.col("name").alias("rule"), "confidence", "ord", P.tokens("text").alias("t"), "evidence")
     s = skills.select(F.col("name").alias("skill"), P.tokens("text").alias("t"), "read_files")
     token = s.select("skill", F.explode("t").alias("k")).join(every.select("rule", F.explode("t").alias("k")), "k").groupBy("skill", "rule").agg(F.count("*").alias("shared"))
-    path = s.select("skill", F.explode("read_files").alias("k")).join(every.select("rule", F.explode("evidence").alias("k")), "k").select("skill", "rule").distinct().withColumn("hit", F.lit(5))
+    path = s.select("skill", F.explode("read_files").alias("k")).join(every.select("rule", F.explode("evidence").alias("k")), "k").select("skill", "rule").distinct().withColumn("hit", F.lit(5).cast("long"))
     base = every.select("rule", "confidence", "ord", F.floor(F.col("confidence") * 3).alias("own"))
-    # a rule of enough confidence scores with every skill
-    sure = s.select("skill").crossJoin(base.where("own > 0").select("rule"))
-    pairs = token.select("skill", "rule").unionByName(path.select("skill", "rule")).unionByName(sure).distinct()
-    scored = pairs.join(token, ["skill", "rule"], "left").join(path, ["skill", "rule"], "left").join(base, "rule").withColumn("score", F.coalesce("shared", F.lit(0)) + F.coalesce("hit", F.lit(0)) + F.col("own")).where("score > 0")
+    points = token.select("skill", "rule", F.col("shared").alias("points")).unionByName(path.select("skill", "rule", F.col("hit").alias("points"))).groupBy("skill", "rule").agg(F.sum("points").alias("points"))
+    met = points.join(base, "rule").withColumn("score", F.col("points") + F.col("own")).where("score > 0").select("skill", "rule", "score", "confidence")
+    # k rules by confidence alone, for every skill: if one of them shares something, its score with that is the higher
+    sure = base.where("own > 0").orderBy(F.desc("own"), F.desc("confidence"), "rule").limit(k).select("rule", F.col("own").alias("score"), "confidence")
+    every_skill = s.select("skill").crossJoin(F.broadcast(sure))
+    scored = met.unionByName(every_skill.select("skill", "rule", "score", "confidence")).groupBy("skill", "rule").agg(F.max(F.struct("score", "confidence")).alias("m")).select("skill", "rule", "m.*")
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("skill").orderBy(F.desc("score"), F.desc("confidence"), "rule"))).where(F.col("rank") <= k)
     first = every.orderBy("ord").limit(fallback).select("rule", "ord")
-    without = s.select("skill").join(scored.select("skill").distinct(), "skill", "left_anti").crossJoin(first)
+    without = s.select("skill").join(scored.select("skill").distinct(), "skill", "left_anti").crossJoin(F.broadcast(first))
     rest = without.select("skill", "rule", F.lit(0).cast("long").alias("score"), F.row_number().over(Window.partitionBy("skill").orderBy("ord")).alias("rank"))
     return top.select("skill", "rule", "score", "rank").unionByName(rest)
 

@@ -21,9 +21,18 @@ def load(spark: SparkSession, path: str, repo_root: str) -> DataFrame | None:
     """The state as one row; None where it is missing, unreadable, incomplete or of another root."""
     try:
         with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+            text = f.read()
     except (OSError, ValueError):
         return None
+    return parse(spark, text, repo_root)
+
+
+def parse(spark: SparkSession, text: str, repo_root: str) -> DataFrame | None:
+    """As ``load``, of the text of a state."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return None
     if not isinstance(data, dict) or any(k not in data for k in REQUIRED) or os.path.realpath(str(data["repo_root"])) != os.path.realpath(repo_root):
         return None
     row = spark.createDataFrame([(json.dumps(data),)], "j string").select(F.from_json("j", SCHEMA, {"mode": "PERMISSIVE"}).alias("s")).select("s.*")

@@ -68,12 +68,14 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, rounds:
     before = seal(now)
     for _ in range(rounds if before[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+        # minima by partial aggregation, joined back, so that a hub's edges are never one task's
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.write(large)
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = scratch.write(small)
-        scratch.drop(now)
+        scratch.drop(now, large)
         now, seen = after, seal(after)
         if seen == before:
             break
@@ -138,9 +140,11 @@ def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, damping: f
 def reachable_from(spark: SparkSession, seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(id, depth) of all that depend on the seeds, directly or not, and of the seeds themselves.
 
-    Edges point from the dependent to what it uses. Each round joins only the last frontier.
+    Edges point from the dependent to what it uses. They are written once; each round joins only the
+    last frontier. Chains of more than ``rounds`` raise, they are not cut.
     """
     scratch = Scratch(spark)
+    edges = scratch.write(edges.select("src", "dst"))
     seen = frontier = scratch.write(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, rounds + 1):
         step = edges.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
@@ -148,6 +152,8 @@ def reachable_from(spark: SparkSession, seeds: DataFrame, edges: DataFrame, roun
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError(f"dependencies reach further than {rounds} steps")
     return seen
 
 

@@ -13,28 +13,37 @@ def order_key(priority: str = "priority", size: str = "char_count", path: str =
     return [F.desc(priority), F.asc(size), F.asc(path)]
 
 
-def select_within_budget(files: DataFrame, max_files: int = V.MAX_FILES, max_chars: int = V.MAX_TOTAL_CHARS) -> DataFrame:
-    """``files`` with ord (1-based, by order_key), selected, and running_chars after each row.
-
-    Greedy: a file that would overflow ``max_chars`` is skipped and later ones may still fit, until
-    ``max_files`` are taken. Only files that can be taken enter the fold, and for it a file is
-    its key and size: files over the whole budget drop out, and of the rest at most ``max_files``
-    distinct sizes of any one size can matter, so ties of priority and size beyond that drop out too.
+def select_within_budget(files: DataFrame, max_files: int = V.MAX_FILES, max_chars: int = V.MAX_TOTAL_CHARS, chunk: int = 2000) -> DataFrame:
+    """``files`` with selected, and running_chars after each selected row.
+
+    Greedy, in the order of order_key: a file that would overflow ``max_chars`` is skipped and later
+    ones may still fit, until ``max_files`` are taken. The walk goes by chunks: the first ``chunk``
+    files behind the last one looked at that fit into what is left, a top-k with partial results. The
+    first of each always fits, so there are at most ``max_files`` of them, and mostly one. A path that
+    stands on several rows is one file of the size of each row.
     """
-    key = F.struct((-F.col("priority")).alias("p"), F.col("char_count").alias("c"), F.col("path").alias("path"))
-    same = Window.partitionBy("priority", "char_count").orderBy("path")
-    fit = files.where(F.col("char_count") <= max_chars).withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= max_files)
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<path:string,total:bigint>>").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["total"] + x["c"]
-        ok = (F.size(acc["taken"]) < max_files) & (total <= max_chars)
-        grown = F.concat(acc["taken"], F.array(F.struct(x["path"].alias("path"), total.alias("total"))))
-        return F.struct(F.when(ok, total).otherwise(acc["total"]).alias("total"), F.when(ok, grown).otherwise(acc["taken"]).alias("taken"))
-
-    folded = fit.agg(F.aggregate(F.array_sort(F.collect_list(key)), start, step).alias("a")).select(F.explode("a.taken").alias("t"))
-    taken = folded.select(F.col("t.path").alias("__path"), F.col("t.total").alias("running_chars"))
-    return files.join(taken, F.col("path") == F.col("__path"), "left").withColumn("selected", F.col("__path").isNotNull()).drop("__path")
+    rows = files.select(F.col("priority").cast("double").alias("p"), F.col("char_count").cast("long").alias("c"), F.col("path").cast("string").alias("path"))
+    rows = rows.where("p is not null and c is not null and path is not null")
+    taken: list[tuple[str, int, int]] = []
+    total, last = 0, None
+    while len(taken) < max_files:
+        fit = rows.where(F.col("c") <= max_chars - total)
+        if last is not None:
+            p, c, path = last
+            at = F.struct((-F.col("p")).alias("p"), "c", "path")
+            fit = fit.where(at > F.struct(F.lit(-p).alias("p"), F.lit(c).cast("long").alias("c"), F.lit(path).alias("path")))
+        found = fit.orderBy(*order_key("p", "c")).limit(chunk).collect()
+        for r in found:
+            if len(taken) < max_files and total + r.c <= max_chars:
+                total += r.c
+                taken.append((r.path, r.c, total))
+        if len(found) < chunk:
+            break
+        last = found[-1]
+    schema = "__path string, __size long, running_chars long"
+    mine = files.sparkSession.createDataFrame(taken, schema).groupBy("__path", "__size").agg(F.min("running_chars").alias("running_chars"))
+    joined = files.join(F.broadcast(mine), (F.col("path") == F.col("__path")) & (F.col("char_count") == F.col("__size")), "left")  # max_files rows at most
+    return joined.withColumn("selected", F.col("__path").isNotNull()).drop("__path", "__size")
 
 
 def budget_totals(selected: DataFrame) -> DataFrame:

@@ -21,10 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder. They cut lineage and outlive lost executors."""
+    """Intermediate tables in the shared folder. They cut lineage and outlive lost executors; what isn't
+    dropped before goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/lodeworks-{uuid.uuid4().hex}", 0
+        where, files = self._at(self.root)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+
+    def _at(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -34,7 +42,8 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no result still reads."""
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no result still reads."""
+        for df in tables:
+            where, files = self._at(df._scratch_path)
+            files.delete(where, True)

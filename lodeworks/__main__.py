@@ -1,13 +1,22 @@
-"""Command line: scan, estimate, ci, adapt, doctor."""
+"""Command line: scan, estimate, ci, adapt, doctor, benchmark."""
 
 from __future__ import annotations
 
 import argparse
-import json
 import os
 import sys
 
 
+_MODES, _PROVIDERS = ("auto", "full", "incremental"), ("openai", "claude", "qwen")
+
+
+def _one_of(name: str, value: str | None, choices: tuple[str, ...]) -> str | None:
+    """A default from the environment, which argparse doesn't check."""
+    if value and value.strip().lower() not in choices:
+        raise ValueError(f"LODEWORKS_{name} has to be one of {', '.join(choices)}, not {value!r}")
+    return value.strip().lower() if value else None
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("lodeworks", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -16,15 +25,20 @@ def parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("root", nargs="?", default=".")
         s.add_argument("--output", default=env("OUTPUT", ".lodeworks"))
-        s.add_argument("--mode", choices=tuple("auto full incremental".split()), default=env("MODE", mode))
+        s.add_argument("--mode", choices=_MODES, default=_one_of("MODE", env("MODE", mode), _MODES))
         s.add_argument("--base", default=env("BASE"))
         s.add_argument("--head", default=env("HEAD"))
         s.add_argument("--diff-file", default=env("DIFF_FILE"))
         for limit, value in (("files", 40), ("kb", 256), ("chars", 120_000)):
             s.add_argument(f"--max-{limit}", type=int, default=int(env(f"MAX_{limit.upper()}", str(value))))
-        s.add_argument("--pricing", default=env("PRICING"))
-        s.add_argument("--provider", choices=tuple("qwen claude openai".split()))
-        s.add_argument("--model", default=env("MODEL", ""))
+        s.add_argument("--max-changed", type=int, default=int(env("MAX_CHANGED", "64")), help="with more changed files than this a run is a full one")
+        s.add_argument("--pricing", default=env("PRICING"), help="a JSON file of prices")
+        s.add_argument("--report", default=env("REPORT"), help="where the report goes, by default into the output folder")
+        if name != "estimate":
+            s.add_argument("--structure-only", action="store_true", help="no documents written by a model")
+            s.add_argument("--max-skills", type=int, default=int(env("MAX_SKILLS", "8")))
+            s.add_argument("--provider", choices=_PROVIDERS, default=_one_of("PROVIDER", env("PROVIDER"), _PROVIDERS))
+            s.add_argument("--model", default=env("MODEL", ""))
     a = sub.add_parser("adapt")
     a.add_argument("root", nargs="?", default=".")
     a.add_argument("--target", default="all")
@@ -33,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("root", nargs="?", default=".")
     d.add_argument("--output", default=".lodeworks")
     d.add_argument("--target")
+    b = sub.add_parser("benchmark")
+    b.add_argument("--report", default="structural-facts.json")
+    b.add_argument("--chart", default="structural-facts.svg")
     return p
 
 
@@ -47,7 +64,7 @@ def main(argv=None) -> int:
         return 2
     command = given.pop("command")
     try:
-        from .plans import model, run
+        from .plans import benchmark, model, render, run
 
         if command == "adapt":
             print("\n".join(run.adapt(**given)))
@@ -57,12 +74,15 @@ def main(argv=None) -> int:
         spark = SparkSession.builder.appName("lodeworks").getOrCreate()
         if command == "doctor":
             out = run.doctor(spark, **given)
-            print(json.dumps(out, indent=2))
+            print("\n".join(render.readiness_lines(out, given["root"], given["output"])))
             return 0 if out["ready"] else 1
-        provider, name = given.pop("provider"), given.pop("model")
-        given["model"] = model.http_model(provider, name) if provider else None
+        if command == "benchmark":
+            print("\n".join(benchmark.write(spark, **given)))
+            return 0
+        provider, name = given.pop("provider", None), given.pop("model", "")
+        given["model"] = model.http_model(provider, name) if provider and not given.get("structure_only") else None
         report = {"scan": run.scan, "estimate": run.estimate, "ci": run.run_ci}[command](spark, **given)
-        print(f"{report['command']} ({report['mode']}): {len(report['selected_files'])} files selected, {len(report['affected_skills'])} skills affected")
+        print("\n".join(render.summary_lines(report)))
         return 0
     except KeyboardInterrupt:
         return 130

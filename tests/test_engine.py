@@ -2,14 +2,16 @@
 
 import json
 import os
+import random
 import subprocess
+import sys
 
 import pytest
 
 from lodeworks.functions import paths as P
 from lodeworks.functions import text
 from lodeworks.operators import blueprint, config, extract, gitignore, impact, resolve, selection, sets, sinks
-from lodeworks.plans import fixture, model, run
+from lodeworks.plans import fixture, model, render, run
 from lodeworks.sources import git, state, tree
 from pyspark.sql import functions as F
 
@@ -100,8 +102,85 @@ def test_coverage_and_workflows(spark):
     r = extract.records(f).join(f.select("path", "role"), "path").withColumn("ord", F.col("path")).withColumn("internal_dependencies", F.array().cast("array<string>"))
     c = blueprint.coverage(r).first()
     assert c.source_file_count == 9 and c.route_count == 2 and c.class_count == 3 and c.dynamic_import_count == 1
-    assert {w.workflow for w in blueprint.workflows(r).collect()} == {"request-handling"}
-    assert blueprint.apis(r).first().name in ("GET /ships", "POST,PUT /ships")
+    assert {w.workflow for w in blueprint.workflows(r).collect()} == {"feature-adding-flow"}
+    assert [(a.kind, a.name, a.details) for a in blueprint.apis(r).where("source like '%web.py'").collect()] == [("route", "GET /ships", "ships"), ("route", "POST,PUT /ships", "add")]
+
+
+def test_extraction_rules():
+    code = """
+import a.b
+import c as d
+from . import e
+class Zeta(Base):
+    @deco
+    def get(self): pass
+    @app.get('/in-class')
+    def late(self): pass
+class Alpha: pass
+@app.post('/x')
+def second(): pass
+def first_CACHE(): pass
+def _registry(): pass
+UPPER, lower = 1, 2
+app_state: int = 3
+session_store = {}
+if __name__ == '__main__':
+    second()
+"""
+    r = extract.extract("x.py", "service", code, True)
+    assert r["classes"] == ["Zeta", "Alpha"] and r["functions"] == ["second", "first_CACHE", "_registry"] and r["methods"] == ["Zeta.get", "Zeta.late"]
+    assert r["exports"] == ["UPPER", "first_CACHE", "second"] and r["export_styles"] == ["named"]
+    assert r["state_signals"] == ["_registry", "app_state", "first_CACHE"] and r["decorators"] == ["app.post"]
+    assert [(x["method"], x["path"]) for x in r["routes"]] == [("POST", "/x")]
+    assert r["file_structure"] == ["imports", "classes", "functions", "assignments"]
+    assert r["notes"] == ["has_main_guard", "gitignored_but_preserved"]
+    assert [x["aliases"] for x in r["import_details"]] == [["b"], ["d"], ["e"]]
+
+
+def test_another_language_can_be_registered(spark):
+    extract.register("shell", lambda path, role, content, ignored: {"path": path, "functions": content.split(), "confidence": 0.5})
+    try:
+        f = spark.createDataFrame([("a.py", "source", "x = 1", "python"), ("b.sh", "source", "f g", "shell"), ("c.md", "doc", "", None)], "path string, role string, content string, language string")
+        got = {r.path: (r.functions, r.confidence, r.imports) for r in extract.records(f).collect()}
+    finally:
+        del extract.EXTRACTORS["shell"]
+    assert got == {"a.py": ([], 0.96, []), "b.sh": (["f", "g"], 0.5, [])}
+
+
+def test_long_chains_are_not_cut(spark):
+    from lodeworks.operators import graph
+
+    e = spark.createDataFrame([(i + 1, i) for i in range(6)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "id long")
+    assert {(r.id, r.depth) for r in graph.reachable_from(spark, seeds, e).collect()} == {(i, i) for i in range(7)}
+    with pytest.raises(RuntimeError, match="further"):
+        graph.reachable_from(spark, seeds, e, rounds=3)
+
+
+def test_budget_goes_by_chunks(spark):
+    rng = random.Random(4)
+    rows = [(f"f{i:03}", rng.randint(1, 60), rng.randint(1, 4)) for i in range(300)]
+    want, total = [], 0
+    for path, size, _ in sorted(rows, key=lambda r: (-r[2], r[1], r[0])):
+        if len(want) < 12 and total + size <= 300:
+            total += size
+            want.append(path)
+    f = spark.createDataFrame(rows, "path string, char_count int, priority int")
+    for chunk in (1, 7, 2000):
+        got = selection.select_within_budget(f, 12, 300, chunk).where("selected").orderBy("running_chars").collect()
+        assert [r.path for r in got] == want and got[-1].running_chars == total
+
+
+def test_rules_that_share_nothing_rank_by_confidence(spark):
+    rules = [(f"r{i}", f"word{i}", [f"e{i}"], 0.1 * (i % 10), i) for i in range(40)]
+    skills = [("a", "word3 word7", ["e11"]), ("b", "nothing", [])]
+    want = {}
+    for s, text, read in skills:
+        scored = [(int(5 * bool(set(read) & set(e))) + len(set(text.split()) & {t}) + int(c * 3 + 1e-9), c, r) for r, t, e, c, _ in rules]
+        want[s] = [r for n, _, r in sorted((x for x in scored if x[0] > 0), key=lambda x: (-x[0], -x[1], x[2]))[:8]]
+    r = spark.createDataFrame(rules, "name string, text string, evidence array<string>, confidence double, ord int")
+    got = impact.relevant_rules(r, spark.createDataFrame(skills, "name string, text string, read_files array<string>"))
+    assert {s: [x.rule for x in got.where(F.col("skill") == s).orderBy("rank").collect()] for s in want} == want
 
 
 def test_invalid_toml(spark):
@@ -213,10 +292,20 @@ def test_runs_end_to_end(spark, tmp_path):
     assert first["mode"] == "full" and "src/harbour/web.py" in first["selected_files"] and first["discovery_method"] == "git"
     doc = (out / "skills/ships.md").read_text()
     assert "invented" not in doc and "class Ship" in doc and "best practices" not in doc
-    assert run.doctor(spark, str(root))["ready"], run.doctor(spark, str(root))
+    ready = run.doctor(spark, str(root))
+    assert ready["ready"] and [c["name"] for c in ready["checks"]][0] == "artifact_bundle" and len(ready["checks"]) == 7, ready
+    assert run.doctor(spark, str(root), output="nowhere")["score"] == 0
+    report = json.loads((out / "report.json").read_text())
+    assert "skills/ships.md" in report["final_products"] and "state/analysis-state.json" in report["intermediate_files"]
+    text = (out / "project-summary.md").read_text()
+    assert all(f"## {h}" in text for h in ("Profile", "Evidence", "Stack", "Core modules", "Dependencies", "Rules", "Workflows")) and "Routes" not in text.split("## Evidence")[0]
+    lines = render.summary_lines(report)
+    assert lines[0] == "command: scan" and any(x.startswith("product: skills/ships.md") for x in lines) and render.readiness_lines(ready, "r", "o")[3] == "ready: true"
     assert run.adapt(str(root), "claude") == [str(root / "CLAUDE.md")]
     assert run.doctor(spark, str(root), target="claude")["score"] == 100
     b = json.loads((out / "skill-blueprint.json").read_text())
+    assert b["project_profile"]["repo_type"] == "backend" and b["tech_stack"]["package_managers"] == ["python"]
+    assert [s["name"] for s in b["recommended_skills"]][:2] == ["project-overview", "backend-architecture"]
     assert b["project_profile"]["framework_signals"] == ["django", "flask", "pytest"] and b["evidence_coverage"]["route_count"] == 2
     # one file changes: only what depends on it is affected, and only its document is updated
     (root / "src/harbour/ships.py").write_text(fixture.FILES["src/harbour/ships.py"].replace("400", "500"))
@@ -283,6 +372,39 @@ def test_surface():
         lodeworks.nothing
     assert cli.main(["nonsense"]) == 2 and cli.main(["--help"]) == 0
     assert cli.main(["adapt", "/nowhere"]) == 1
+    given = cli.parser().parse_args(["scan", "x", "--structure-only", "--max-changed", "3", "--report", "r.json", "--max-skills", "2"])
+    assert given.structure_only and given.max_changed == 3 and given.report == "r.json" and given.max_skills == 2
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["estimate", "--structure-only"])
+    with pytest.raises(ValueError):
+        run.Options("r", mode="never")
+
+
+def test_defaults_from_the_environment(monkeypatch):
+    from lodeworks import __main__ as cli
+
+    monkeypatch.setenv("LODEWORKS_MODE", "sometimes")
+    assert cli.main(["scan"]) == 2
+    monkeypatch.setenv("LODEWORKS_MODE", "full")
+    monkeypatch.setenv("LODEWORKS_MAX_FILES", "x")
+    assert cli.main(["scan"]) == 2
+    monkeypatch.setenv("LODEWORKS_MAX_FILES", "7")
+    assert cli.parser().parse_args(["ci"]).max_files == 7 and cli.parser().parse_args(["ci"]).mode == "full"
+
+
+def test_recall_report_and_chart(spark, tmp_path):
+    from lodeworks.plans import benchmark
+
+    lines = benchmark.write(spark, str(tmp_path / "r.json"), str(tmp_path / "c.svg"))
+    report = json.loads((tmp_path / "r.json").read_text())
+    recall = {r["method"]: r["recall"] for r in report["results"]}
+    assert report["gold"] == 45 and recall["path-only"] < recall["symbols"] < recall["semantic"] == 1.0
+    assert (tmp_path / "c.svg").read_text().count("<rect") == 3 and lines[2].startswith("semantic: recall 1.000 (45/45)")
+
+
+def test_entry_without_a_dependency():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) >= 45 and not [n for n in q if n.startswith('op') or n == 'pipeline'], list(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
 
 
 def test_pagerank_against_plain_rounds(spark):

@@ -357,3 +357,60 @@ def test_sanitise_by_brute_force(spark):
         assert got[i].text == " ".join(out)
     assert sum(r.removed for r in got.values()) > 10
     assert all(f"only{i}" not in got[i].text for i in (33, 35)) and "only35" in rows[35][1]
+
+
+def test_bundles_by_brute_force(spark):
+    """Every record found by walking the frames of the payload, without seek table or index."""
+    rows = [(i, f"http://e.example/{i}", f"<p>{'x' * (i * 37 % 900)}é{i}</p>") for i in range(120)] + [(5, "http://e.example/5", "<p>twice</p>")] * 2
+    made = warc.bundles(table(spark, rows, "page_id long, url string, html string").coalesce(2), frame_bytes=3000, bundle_bytes=20_000)
+    seen, places = [], {}
+    for b in made.collect():
+        rest, at, frame = b.payload, 0, 0
+        while rest[:4] == b"\x28\xb5\x2f\xfd":
+            d = zstandard.ZstdDecompressor().decompressobj()
+            data = d.decompress(rest)
+            size = len(rest) - len(d.unused_data)
+            spot = 0
+            while spot < len(data):
+                head, _, _ = data[spot:].partition(b"\r\n\r\n")
+                n = len(head) + 4 + int(re.search(rb"Content-Length: (\d+)", head)[1]) + 4
+                page = warc.parse(data[spot : spot + n])
+                seen.append((page["page_id"], page["url"], page["html"]))
+                places.setdefault(page["record_id"], []).append((b.bundle_id, frame, at, spot, n))
+                spot += n
+            rest, at, frame = d.unused_data, at + size, frame + 1
+        assert rest[:4] == struct.pack("<I", 0x184D2A5E) and frame == b.n_frames > 1
+    assert sorted(seen) == sorted(rows)
+    found = {r.record_id: (r.bundle_id, r.frame, r.frame_offset, r.offset, r.length) for r in warc.index(made).collect()}
+    assert found == {k: min(v) for k, v in places.items()} and len(found) == 121
+
+
+def test_quality_by_brute_force(spark):
+    """Scores from sizes of each chunk compressed on its own, features and the logistic function written out."""
+    rng = random.Random(10)
+    _, docs = corpus(rng, 60, size=150, vocabulary=300)
+    rows = [(i, " ".join(d) if i % 3 else " ".join(d[:4] * 9)) for i, d in enumerate(docs)] + [(90, None), (91, "")]
+    t, labels = table(spark, rows), table(spark, [(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = compressor.fit(spark, t, labels)
+    want = {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        if not raw:
+            want[i] = None
+            continue
+        chunks = [raw[k : k + 256] for k in range(0, len(raw), 256)]
+        sizes = []
+        for d in model.dictionaries:
+            dictionary = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            p = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(d), source_size=256, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append([len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=p).compress(c)) for c in chunks])
+        good, low, toxic = map(sum, sizes)
+        gain = [g - x - 2 for g, x in zip(sizes[0], sizes[2]) if g - x > 2]
+        r = min(good / len(raw), 1.0)
+        x = [1, 10 * (good - low) / good, 10 * max((good - low) / good, 0), 20 * (good - toxic) / good, math.log1p(sum(gain)), 4 * len(gain) / len(chunks), 10 * min(r, 0.5), 4 * r, 10 * r * r]
+        p = [1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, w)))))) for w in (model.low, model.toxic)]
+        want[i] = (1 - p[0]) * (1 - p[1])
+    got = {r.doc_id: (r.score, r.rejected) for r in compressor.classify(spark, t, labels).collect()}
+    assert set(got) == set(want)
+    for i, s in want.items():
+        assert (s is None and got[i] == (None, False)) or (abs(got[i][0] - s) < 1e-9 and got[i][1] == (s < compressor.THRESHOLD)), i

@@ -11,6 +11,8 @@ __version__ = "0.1.0"
 
 _WHERE = {
     **dict.fromkeys(("Options", "scan", "estimate", "run_ci", "adapt", "doctor", "execute", "analyse", "describe"), "plans.run"),
+    **dict.fromkeys(("render", "partition", "summary_lines", "readiness_lines"), "plans.render"),
+    **dict.fromkeys(("extract", "register"), "operators.extract"),
     "http_model": "plans.model",
     "read_tree": "sources.tree",
 }

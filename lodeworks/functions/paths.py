@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -146,9 +146,14 @@ def rule_matches(path: Column | str) -> list[Column]:
     ]
 
 
-def priority(path: Column | str) -> Column:
-    """struct(score, reasons, role): the best rule, and up to three points for further ones."""
-    rules = [F.when(m, F.struct(F.lit(s).alias("score"), F.lit(r).alias("reason"), F.lit(role).alias("role"))) for m, (s, r, role) in zip(rule_matches(path), V.PATH_RULES, strict=True)]
+def priority(path: Column | str, more: Iterable[tuple[Callable[[Column], Column], int, str, str]] = ()) -> Column:
+    """struct(score, reasons, role): the best rule, and up to three points for further ones.
+
+    ``more`` are further rules (matches, score, reason, role), matches being a function of the path.
+    """
+    own = list(zip(rule_matches(path), V.PATH_RULES, strict=True)) + [(matches(_col(path)), rule) for matches, *rule in more]
+    own.sort(key=lambda x: -x[1][0])
+    rules = [F.when(m, F.struct(F.lit(s).alias("score"), F.lit(r).alias("reason"), F.lit(role).alias("role"))) for m, (s, r, role) in own]
     hit = F.filter(F.array(*rules), lambda x: x.isNotNull())
     found = F.struct((hit[0]["score"] + F.least(F.size(hit) - 1, F.lit(3))).alias("score"), F.transform(hit, lambda x: x["reason"]).alias("reasons"), hit[0]["role"].alias("role"))
     return F.when(F.size(hit) > 0, found).otherwise(F.struct(F.lit(10).alias("score"), F.array(F.lit("fallback candidate")).alias("reasons"), F.lit("source").alias("role")))

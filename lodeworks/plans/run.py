@@ -41,6 +41,8 @@ class Options:
     structure_only: bool = False
     report: str | None = None
     write: bool = True
+    #: "plan", "generate" and "update" may be replaced by functions of the arguments of those in ``model``
+    prompts: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.command not in ("scan", "estimate", "ci") or self.mode not in ("auto", "full", "incremental"):
@@ -257,26 +259,28 @@ def write_documents(spark, o: Options, a: Analysis, b: dict, mode: str, touched:
     old = json.load(open(path, encoding="utf-8"))["skills"] if o.command == "ci" and mode == "incremental" and os.path.exists(path) else None
     affected = {p for p in (x["path"] for x in patches)}
     due = None if old is None else [e for e in old if affected & set(e["read_files"])]
-    entries = old if old is not None and (due or not set(touched) - {e["name"] for e in old}) else M.plan(o.model, b, set(texts), o.max_skills)
+    entries = old if old is not None and (due or not set(touched) - {e["name"] for e in old}) else M.plan(o.model, b, set(texts), o.max_skills, o.prompts.get("plan"))
     wide = spark.createDataFrame([(e["name"], " ".join([e["name"], e["title"], e["scope"], e["why"], *e["read_files"]]), e["read_files"]) for e in entries], "name string, text string, read_files array<string>")
     rule = spark.createDataFrame([(r["name"], r["text"], r["evidence"], float(r["confidence"]), r["ord"]) for r in b["abstract_rules"]], "name string, text string, evidence array<string>, confidence double, ord int")
     fits: dict[str, list[str]] = {}
     for r in impact.relevant_rules(rule, wide).join(rule.select(F.col("name").alias("rule"), "text"), "rule").orderBy("skill", "rank").collect():
         fits.setdefault(r.skill, []).append(r.text)
+    wanted = sorted({p for e in entries for p in e["read_files"]})
+    known = {r.path: r.asDict(recursive=True) for df in (a.records, a.configs) for r in df.where(F.col("path").isin(wanted)).collect()} if wanted else {}
     before = {r.path: json.loads(r.summary) for r in state.files_of(saved).where("summary is not null").select("path", "summary").collect()} if saved is not None else {}
     diffs = spark.createDataFrame([(p["path"], i) for i, p in enumerate(patches)], "path string, n int")
     for e in entries:
         place = os.path.join(o.folder, "skills", f"{e['name']}.md")
-        files = [M.context(p, texts.get(p)) for p in e["read_files"]]
+        files = [M.context(p, texts.get(p), known.get(p)) for p in e["read_files"]]
         if entries is old and os.path.exists(place):
             if e in due:
                 wanted = spark.createDataFrame(list(enumerate(e["read_files"])), "pos int, path string")
                 mine = [patches[r.n] for r in impact.relevant_diffs(diffs, wanted).orderBy("pos", "n").collect()]
                 was = "\n\n".join(M.skeleton(p["path"], before.get(p["path"])) for p in mine)
                 with open(place, encoding="utf-8") as f:
-                    artifacts[f"skills/{e['name']}.md"] = M.update(o.model, f.read(), mine, was)
+                    artifacts[f"skills/{e['name']}.md"] = M.update(o.model, f.read(), mine, was, o.prompts.get("update"))
         else:
-            artifacts[f"skills/{e['name']}.md"] = M.generate(o.model, e, files, fits.get(e["name"], []))
+            artifacts[f"skills/{e['name']}.md"] = M.generate(o.model, e, files, fits.get(e["name"], []), o.prompts.get("generate"))
     artifacts["skills/index.md"] = M.index(entries)
     artifacts["skill-plan.json"] = json.dumps({"skills": entries}, ensure_ascii=False, indent=2) + "\n"
     return entries

@@ -95,6 +95,34 @@ def decode(data: Column | str) -> Column:
     return F.arrow_udf(_text, "string")(data)
 
 
+def hydrate(listed: DataFrame, root: str, batch_bytes: int = 16 << 20) -> DataFrame:
+    """``listed`` (path, size_bytes, gitignored) with content, read where the rows are: the listing never
+    comes to the driver. Files that are gone by now drop out."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows):
+            path, flag, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array([len(d) for d in data], pa.int64()), pa.array(flag, pa.bool_()), pa.array(data, pa.binary())], ["path", "size_bytes", "gitignored", "content"])
+
+        rows, size = [], 0
+        for b in batches:
+            for path, flag in zip(b.column("path").to_pylist(), b.column("gitignored").to_pylist(), strict=True):
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    continue
+                rows.append((path, flag, data))
+                size += len(data)
+                if size > batch_bytes:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return listed.select("path", "size_bytes", "gitignored").mapInArrow(read, "path string, size_bytes long, gitignored boolean, content binary")
+
+
 def scan(spark: SparkSession, root: str, max_kb: int = V.MAX_FILE_KB) -> tuple[DataFrame, str]:
     """(candidates, method): (path, size_bytes, char_count, sha256, language, role, priority, reasons,
     content, gitignored, ord), best first.
@@ -107,17 +135,8 @@ def scan(spark: SparkSession, root: str, max_kb: int = V.MAX_FILE_KB) -> tuple[D
     ignore = os.path.join(root, ".gitignore")
     lines = open(ignore, encoding="utf-8", errors="ignore").read().splitlines() if os.path.exists(ignore) else []
     listed = gitignore.mark(spark, read_tree(spark, root, paths, content=False), lines)
-    listed = listed.withColumn("d", P.path_decision("path", "size_bytes", F.col("gitignored"), max_kb)).where("d.include")
-    # the listing is as large as the tree has files; names that pass go to the reader
-    keep = listed.select("path", "gitignored").collect()
-    flags = spark.createDataFrame([(r.path, r.gitignored) for r in keep], "p string, gitignored boolean")
-    read = read_tree(spark, root, [r.path for r in keep]).where(~P.binary_blob("content"))
-    f = read.withColumn("text", decode("content")).where(P.content_decision("path", "text")["include"])
+    listed = listed.where(P.path_decision("path", "size_bytes", F.col("gitignored"), max_kb)["include"])
+    f = hydrate(listed, root).where(~P.binary_blob("content")).withColumn("text", decode("content")).where(P.content_decision("path", "text")["include"])
     f = f.where(P.language("path").isNotNull() | P.supported_non_source("path")).withColumn("p", P.priority("path"))
-    return _candidates(f, flags), method
-
-
-def _candidates(f: DataFrame, flags: DataFrame) -> DataFrame:
-    g = flags.select(F.col("p").alias("flag_path"), F.col("gitignored").alias("flag"))
-    out = f.join(g, f["path"] == g["flag_path"], "left").select("path", "size_bytes", F.length("text").alias("char_count"), F.sha2("content", 256).alias("sha256"), P.language("path").alias("language"), F.col("p.role").alias("role"), F.col("p.score").alias("priority"), F.col("p.reasons").alias("reasons"), F.col("text").alias("content"), F.coalesce("flag", F.lit(False)).alias("gitignored"))
-    return out.withColumn("ord", F.row_number().over(Window.orderBy(*selection.order_key())))
+    out = f.select("path", "size_bytes", F.length("text").alias("char_count"), F.sha2("content", 256).alias("sha256"), P.language("path").alias("language"), "p.role", F.col("p.score").alias("priority"), "p.reasons", F.col("text").alias("content"), F.coalesce("gitignored", F.lit(False)).alias("gitignored"))
+    return out.withColumn("ord", F.row_number().over(Window.orderBy(*selection.order_key()))), method

@@ -74,6 +74,19 @@ def _ints(h: np.ndarray) -> np.ndarray:
     return (h >> U64(33)).astype(np.int32)
 
 
+def _letters(seq: bytes) -> tuple[int, ...]:
+    """Words as an automaton reads them: two letters each, seven bits and the rest.
+
+    Its nodes are searched child by child, so the root may not have one for every word a phrase begins with. Letters
+    of the two kinds differ, so a match begins with a word.
+    """
+    word = np.frombuffer(seq, dtype=np.int32)
+    out = np.empty(2 * len(word), dtype=np.int32)
+    out[::2] = word >> 24
+    out[1::2] = (word & 0xFFFFFF) + 128
+    return tuple(out.tolist())
+
+
 _ROUTED = "shard long, salt long, kind byte, key long, lead int, seq binary"
 _FOUND = "h long, doc_id long, pos int, before int, after int"
 
@@ -148,14 +161,15 @@ def _stream(phrase: int, reach: int):
                     now, ready = (shard, salt), False
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
                 if kind == 0:
-                    word = tuple(np.frombuffer(seq, dtype=np.int32)[lead : lead + phrase].tolist())
+                    word = _letters(seq[4 * lead : 4 * (lead + phrase)])
                     # what stands about it is kept as bytes, which take a tenth of the room
                     automaton.add_word(word, (*automaton.get(word, ()), (key, seq[: 4 * lead], seq[4 * (lead + phrase) :])))
                     continue
                 if not ready:
                     automaton.make_automaton()
                     ready = True
-                for end, held in automaton.iter(tuple(np.frombuffer(seq, dtype=np.int32).tolist())):
+                for end, held in automaton.iter(_letters(seq)):
+                    end //= 2
                     at = end - phrase + 1
                     before, after = seq[4 * max(0, at - reach) : 4 * at], seq[4 * end + 4 : 4 * (end + 1 + reach)]
                     hits += [(k, key, at, _before(before, left), _after(after, right)) for k, left, right in held]

@@ -18,6 +18,8 @@ PHRASE, PASSAGE = 32, 50
 #: Phrases an automaton holds at most, on average over the shards, and documents that one task
 #: streams through it.
 SHARD_PHRASES, SHARD_DOCS = 20_000, 20_000
+#: Rows whose hits are held at a time.
+STREAM_ROWS = 256
 _POSITION = 28
 
 
@@ -154,7 +156,8 @@ def _stream(phrase: int, reach: int):
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton, ready = None, None, False
-        for b in batches:
+        # some rows at a time, as Python's own values take several times the room of the columns
+        for b in (b.slice(k, STREAM_ROWS) for b in batches for k in range(0, b.num_rows, STREAM_ROWS)):
             hits: list[tuple[int, int, int, int, int]] = []
             for shard, salt, kind, key, lead, seq in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "key", "lead", "seq")), strict=True):
                 if now != (shard, salt):

@@ -17,7 +17,7 @@ from .tokens import U64, grams, sliding_min, words
 PHRASE, PASSAGE = 32, 50
 #: Phrases an automaton holds at most, on average over the shards, and documents that one task
 #: streams through it.
-SHARD_PHRASES, SHARD_DOCS = 20_000, 20_000
+SHARD_PHRASES, SHARD_DOCS = 10_000, 20_000
 #: Rows whose hits are held at a time.
 STREAM_ROWS = 256
 _POSITION = 28

@@ -15,9 +15,12 @@ from .tokens import U64, Words, mix, words
 
 BITS = 128
 RADIUS = 24
+#: Below 1, an option only: the chance with which a pair at the radius meets in sampled buckets.
 RECALL = 0.9
-#: Fingerprints a bucket holds, until a table samples BITS_MOST bits; from then on buckets grow and the
-#: number of tables stays. Buckets over TILE fingerprints are compared as pairs of tiles, one pair a task.
+#: Fingerprints of a pair of tiles up to which all are compared, without blocks.
+SMALL = 1 << 16
+#: Fingerprints a sampled bucket holds, until a table samples BITS_MOST bits; from then on buckets grow and the
+#: number of tables stays. What is over TILE fingerprints is compared as pairs of tiles, one pair a task.
 BUCKET, BITS_MOST, TILE = 256, 9, 1 << 18
 _SALT = U64(0x5BD1E995ABCDEF01)
 
@@ -59,7 +62,19 @@ def _csa(a, b, c):
     return u ^ c, (a & b) | (u & c)
 
 
-def close_pairs(f: np.ndarray, radius: int, tile: int = 1 << 15, split: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _planes(f: np.ndarray) -> np.ndarray:
+    """(BITS, words): plane b holds bit b of 64 fingerprints a word."""
+    n = len(f)
+    planes = np.empty((BITS, -(-n // 64)), dtype=U64)
+    for b in range(0, planes.shape[1], 1 << 12):  # some rows at a time, as a row of bits takes 128 bytes
+        rows = f[b * 64 : (b + (1 << 12)) * 64]
+        bits = np.zeros((BITS, -(-len(rows) // 64) * 64), dtype=np.uint8)
+        bits[:, : len(rows)] = np.unpackbits(rows.view(np.uint8).reshape(len(rows), BITS // 8), axis=1).T
+        planes[:, b : b + (1 << 12)] = np.packbits(bits, axis=1, bitorder="little").view(U64)
+    return planes
+
+
+def close_pairs(f: np.ndarray, radius: int, tile: int = 1 << 13, split: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j of fingerprints (n, 2) within ``radius``; with ``split`` only those with i < split <= j.
 
     Plane b holds bit b of 64 fingerprints a word. The distances of one fingerprint to a block
@@ -67,40 +82,31 @@ def close_pairs(f: np.ndarray, radius: int, tile: int = 1 << 15, split: int = 0)
     moves the counters above 16, and a block leaves as soon as all of its 64 distances are over.
     """
     n = len(f)
-    width = -(-n // 64)
-    planes = np.empty((BITS, width), dtype=U64)
-    for b in range(0, width, 1 << 12):  # some rows at a time, as a row of bits takes 128 bytes
-        rows = f[b * 64 : (b + (1 << 12)) * 64]
-        bits = np.zeros((BITS, -(-len(rows) // 64) * 64), dtype=np.uint8)
-        bits[:, : len(rows)] = np.unpackbits(rows.view(np.uint8).reshape(len(rows), BITS // 8), axis=1).T
-        planes[:, b : b + (1 << 12)] = np.packbits(bits, axis=1, bitorder="little").view(U64)
+    planes = _planes(f)
     last = split or n
-    first = np.full(last, split // 64) if split else np.arange(n) // 64
-    per_row = width - first
-    ends = np.cumsum(per_row)
     at = 0
     while at < last:
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + tile, "right")))
-        flips = np.where(np.unpackbits(f[at:to].view(np.uint8).reshape(-1, BITS // 8), axis=1).T.astype(bool), ~U64(0), U64(0))
-        q = np.repeat(np.arange(at, min(to, last)), per_row[at:to])
-        blk = np.arange(len(q)) - np.repeat(ends[at:to] - per_row[at:to] - done, per_row[at:to]) + first[q]
-        for i, j in _tile(planes, flips, q, blk, radius, n, at):
-            if split:
-                cross = j >= split
-                i, j = i[cross], j[cross]
-            if len(i):
-                yield i, j
+        first = (split or at) // 64
+        to = min(last, at + max(1, tile // max(1, planes.shape[1] - first)))
+        for i, j in _grid(planes[:, first:], f[at:to], radius):
+            i, j = i + at, j + first * 64
+            ok = (j >= split) & (j < n) if split else (i < j) & (j < n)
+            if ok.any():
+                yield i[ok], j[ok]
         at = to
 
 
-def _tile(planes, flips, q, blk, radius, n, at):
-    high = [np.zeros(len(q), dtype=U64) for _ in range(max(1, (BITS // 16).bit_length()))]
-    o = np.zeros(len(q), dtype=U64)
+def _grid(planes: np.ndarray, rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, lane) of all ``rows`` against all lanes of ``planes`` that are within ``radius``; blocks may end in unused lanes."""
+    flips = np.where(np.unpackbits(rows.view(np.uint8).reshape(-1, BITS // 8), axis=1).T.astype(bool), ~U64(0), U64(0))
+    shape = len(rows), planes.shape[1]
+    q = blk = None  # of the blocks left, once some have left
+    high = [np.zeros(shape, dtype=U64) for _ in range(max(1, (BITS // 16).bit_length()))]
+    o = np.zeros(shape, dtype=U64)
     t, f, e = o.copy(), o.copy(), o.copy()
     alive = o
     for b in range(0, BITS, 16):
-        x = [planes[p][blk] ^ flips[p][q - at] for p in range(b, b + 16)]
+        x = [planes[p] ^ flips[p][:, None] if q is None else planes[p][blk] ^ flips[p][q] for p in range(b, b + 16)]
         eights = []
         for half in (0, 8):
             fours = []
@@ -115,27 +121,92 @@ def _tile(planes, flips, q, blk, radius, n, at):
         e, carry = _csa(e, *eights)
         for k, c in enumerate(high):
             high[k], carry = c ^ carry, c & carry
+        if b + 16 < 3 * radius and b + 16 < BITS:
+            continue  # of 64 distances one would still be within the radius
         alive = _at_most([o, t, f, e, *high], radius)
         if b + 16 < BITS:
             keep = np.flatnonzero(alive)
             if len(keep) == 0:
                 return
-            if len(keep) < 0.75 * len(q):
-                q, blk, o, t, f, e = (a[keep] for a in (q, blk, o, t, f, e))
-                high = [c[keep] for c in high]
+            if len(keep) < 0.75 * alive.size:
+                q, blk = (keep // shape[1], keep % shape[1]) if q is None else (q[keep], blk[keep])
+                o, t, f, e = (a.ravel()[keep] for a in (o, t, f, e))
+                high = [c.ravel()[keep] for c in high]
+    alive = alive.ravel()
     keep = np.flatnonzero(alive)
     if len(keep):
+        q, blk = (keep // shape[1], keep % shape[1]) if q is None else (q[keep], blk[keep])
         lanes = np.unpackbits(alive[keep].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         r, lane = np.nonzero(lanes)
-        i, j = q[keep[r]], blk[keep[r]] * 64 + lane
-        ok = (i < j) & (j < n)
-        if ok.any():
-            yield i[ok], j[ok]
+        yield q[r], blk[r] * 64 + lane
+
+
+def blocks(radius: int) -> list[tuple[np.ndarray, int]]:
+    """(bits, t): disjoint blocks of bits; two fingerprints within ``radius`` are within t in one of them at least.
+
+    The t + 1 add up to radius + 1: a pair over t in every block differs in more than ``radius``
+    bits. A block of t = 1 is worth two; an odd rest takes one of t = 0. Without any, the radius
+    leaves too few bits for each, and all pairs are to be compared.
+    """
+    one, none = (radius + 1) // 2, (radius + 1) % 2
+    rest = 8 * none
+    wide = min(10, (BITS - rest) // one) if one else 10
+    if wide < 8:
+        return []
+    bits = np.random.default_rng(20).permutation(BITS)
+    out = [(np.sort(bits[rest + k * wide : rest + (k + 1) * wide]), 1) for k in range(one)]
+    return out + [(np.sort(bits[:rest]), 0)] * none
+
+
+def near_pairs(f: np.ndarray, radius: int, part: int = 0, parts: int = 1, split: int = 0, tile: int = 1 << 13, small: int = SMALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``close_pairs``, exactly, by comparing only what is near in one of the ``blocks``; pairs may come more than once.
+
+    ``part`` of ``parts`` takes its share of the blocks; every pair comes in one part at least.
+    Up to ``small`` fingerprints are all compared, as buckets would be too thin.
+    """
+    n = len(f)
+    found = blocks(radius)
+    if n <= small or not found:
+        if part == 0:
+            yield from close_pairs(f, radius, tile, split)
+        return
+    rows, columns = np.arange(split or n), np.arange(split, n)
+    x = np.unpackbits(f.view(np.uint8).reshape(n, BITS // 8), axis=1)
+    for bits, t in found[part::parts]:
+        key = (x[:, bits].astype(np.int64) << np.arange(len(bits))).sum(1)
+        many = 1 << len(bits)
+        row = rows[np.argsort(key[rows], kind="stable")]
+        row_end = np.cumsum(np.bincount(key[rows], minlength=many))
+        column = columns[np.argsort(key[columns], kind="stable")]
+        count = np.bincount(key[columns], minlength=many)
+        # the columns of a bucket begin with a block of 64
+        width = -(-count // 64)
+        begin = np.cumsum(width) - width
+        slot = np.full(int(width.sum()) * 64, -1)
+        slot[np.arange(len(column)) + np.repeat(begin * 64 - (np.cumsum(count) - count), count)] = column
+        planes = np.ascontiguousarray(_planes(np.where((slot >= 0)[:, None], f[slot], U64(0))).T)
+        for k in range(many):
+            own = row[row_end[k - 1] if k else 0 : row_end[k]]
+            others = [k] + [k ^ (1 << b) for b in range(len(bits))] * t
+            if not split:  # the pair of buckets is compared once
+                others = [o for o in others if o >= k]
+            at = np.concatenate([np.arange(begin[o], begin[o] + width[o]) for o in others])
+            if not len(own) or not len(at):
+                continue
+            met, ids = np.ascontiguousarray(planes[at].T), slot.reshape(-1, 64)[at].ravel()
+            step = max(1, tile // len(at))
+            for a in range(0, len(own), step):
+                for i, j in _grid(met, f[own[a : a + step]], radius):
+                    i, j = own[a + i], ids[j]
+                    ok = (j >= 0) & (i != j)
+                    i, j = i[ok], j[ok]
+                    if len(i):
+                        yield np.minimum(i, j), np.maximum(i, j)
 
 
 def _at_most(counter: list[np.ndarray], bound: int) -> np.ndarray:
     """Lanes whose vertical counter (lowest bit first) is at most ``bound``."""
-    less = np.zeros(len(counter[0]), dtype=U64)
+    less = np.zeros_like(counter[0])
     same = ~less
     for k in range(len(counter) - 1, -1, -1):
         if bound >> k & 1:
@@ -162,7 +233,9 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _link(radius: int):
+def _link(radius: int, parts: int, small: int):
+    """The links of a group; with ``parts`` a bucket is one of so many shares of the blocks, otherwise all of it is compared."""
+
     def link(t: pa.Table) -> pa.Table:
         f = np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(U64)
         ids, side = t["rep"].to_numpy(), t["side"].to_numpy()
@@ -171,7 +244,8 @@ def _link(radius: int):
         split = int(np.searchsorted(side, 1))
         label = np.arange(len(ids))
         if split:  # otherwise all rows are of the second tile, the first being empty
-            for a, b in close_pairs(f, radius, split=split if split < len(ids) else 0):
+            split = split if split < len(ids) else 0
+            for a, b in near_pairs(f, radius, t["bucket"][0].as_py(), parts, split, small=small) if parts else close_pairs(f, radius, split=split):
                 merge(label, a, b)
         moved = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"a": pa.array(ids[moved]), "b": pa.array(ids[label[moved]])})
@@ -180,7 +254,7 @@ def _link(radius: int):
 
 
 def plan(n: int, radius: int, recall: float, bucket: int = BUCKET, most: int = BITS_MOST) -> tuple[int, int]:
-    """Sampled bits a table, and tables, so that a pair at the radius meets with ``recall``.
+    """Sampled bits a table, and tables, so that a pair at the radius meets with ``recall`` (below 1).
 
     Up to ``most`` bits are sampled, so the number of tables is bounded whatever n is.
     """
@@ -248,16 +322,21 @@ def _bands(bits: int, tables: int, tiles: np.ndarray):
     return bands
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, bucket: int = BUCKET, bits_most: int = BITS_MOST, tile: int = TILE) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, recall: float = 1, bucket: int = BUCKET, bits_most: int = BITS_MOST, tile: int = TILE, small: int = SMALL) -> DataFrame:
     """Groups of documents whose 128-bit SimHashes chain within ``radius``.
 
     Returns one row for each distinct doc_id that has words: (doc_id, group_id, group_size, kept);
     group_id is the least doc_id of the group, and that document is the one kept. Equal
-    fingerprints group exactly. Others meet in bit-sampling tables, whose number follows from
-    ``recall`` at the radius. Sampled bits grow with the logarithm of the corpus up to
-    ``bits_most``, so the number of tables, and of rows shuffled for a fingerprint, is bounded.
-    Within a bucket all fingerprints are compared, bit-sliced; one of more than ``tile``
-    fingerprints is cut into tiles by hash, whose pairs are compared in tasks of their own.
+    fingerprints group exactly, and so do all others within the radius: fingerprints are cut into
+    tiles of about ``tile`` by hash, each pair of tiles is a task, and within it bit-sliced
+    comparison is confined to fingerprints that agree, but for a bit, in one of the disjoint
+    ``blocks`` (by the pigeonhole principle no pair is lost). Few tiles share out the blocks over
+    several tasks; up to ``small`` fingerprints are all compared. A fingerprint is shuffled once for each tile, or for each block if that is more.
+
+    Only with a ``recall`` below 1 are links lost: fingerprints then meet in bit-sampling tables,
+    whose number follows from it. Sampled bits grow with the logarithm of the corpus up to
+    ``bits_most``, so rows shuffled for a fingerprint are bounded. Buckets of more than ``tile``
+    fingerprints are compared as pairs of tiles there.
 
     Documents with a null or wordless text and rows with a null doc_id are in no group and have
     no row. A doc_id on several rows is one document, in the group of any of its texts. Ties
@@ -269,13 +348,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     marks = scratch.write(slim.mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long"))
     distinct = scratch.write(marks.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")))
-    bits, tables = plan(distinct.count(), radius, recall, bucket, bits_most)
+    n = distinct.count()
+    parts = max(1, len(blocks(radius)) // -(-n // tile)) if recall >= 1 and n else 0
+    if n <= small:
+        parts = min(parts, 1)
+    bits, tables = plan(n, radius, recall, bucket, bits_most) if recall < 1 else (0, parts or 1)
     tiles = np.ones(tables << bits, dtype=np.int64)
     # at most tables << bits_most rows
     for r in distinct.mapInArrow(_sizes(bits, tables), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > tile).collect():
         tiles[r.bucket] = -(-r.n // tile)
     met = distinct.mapInArrow(_bands(bits, tables, tiles), "bucket long, pair long, side byte, f0 long, f1 long, rep long")
-    links = met.groupBy("bucket", "pair").applyInArrow(_link(radius), "a long, b long")
+    links = met.groupBy("bucket", "pair").applyInArrow(_link(radius, parts, small), "a long, b long")
     # a document under several fingerprints ties them together
     ties = marks.join(distinct, ["f0", "f1"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     split = marks.groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("lo"), F.max(F.struct("f0", "f1")).alias("hi")).where("lo <> hi").select("doc_id")

@@ -21,7 +21,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+    # every match within the bound, not the share that op6 aims at
+    return decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"), recall=1)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -36,7 +36,7 @@ class Items:
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  #: by length: hashes, item, offset, filter
     sizes: np.ndarray  #: distinct item lengths
     keys: dict[int, tuple[np.ndarray, np.ndarray]]  #: by length: sorted LSH keys, item
-    walks: int
+    walks: int  #: 0: every place that can match is verified, without LSH
     short: dict[bytes, list[int]]  #: by their word hashes: ids of the items of few words
 
 
@@ -139,7 +139,7 @@ def prepare(ids: list[int], texts: list[str], rate: float, recall: float = RECAL
     for i, x in enumerate(seqs):
         if 0 < len(x) < SHORT:
             short.setdefault(x.tobytes(), []).append(ids[i])
-    walks = walks_for(recall, rate)
+    walks = walks_for(recall, rate) if recall < 1 else 0
     ids_, seqs = np.array([ids[i] for i in keep], dtype=np.int64), [seqs[i] for i in keep]
     bound = np.array([edit_bound(len(s), rate) for s in seqs], dtype=np.int64)
     found: dict[int, list] = {}
@@ -157,7 +157,7 @@ def prepare(ids: list[int], texts: list[str], rate: float, recall: float = RECAL
         pieces[q] = (h, np.array([r[1] for r in x]), np.array([r[2] for r in x]), bits)
     lengths = np.array([len(s) for s in seqs], dtype=np.int64)
     keys = {}
-    for n in np.unique(lengths):
+    for n in np.unique(lengths) if walks else ():
         own = np.flatnonzero(lengths == n)
         k = lsh_keys(np.stack([seqs[i] for i in own]), walks)
         flat, item = k.ravel(), np.repeat(own, k.shape[1])
@@ -198,15 +198,13 @@ def _share_words(items: Items, hit: np.ndarray, h: np.ndarray, row: np.ndarray)
     return keep
 
 
-def windows(items: Items, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the item-sized windows that can be within the bound of some item.
+def places(items: Items, h: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
+    """(start, item, row) of all places where an item can be within its bound; a start may be off by b, and before the row.
 
-    An item within b edits of a window leaves one of its b + 1 pieces whole in it, at most b words
-    from its place. So windows are those about an occurrence of a piece, in surroundings that hold
+    An item within b edits of a part of a row leaves one of its b + 1 pieces whole in it, at most b words
+    from its place. So places are those of an occurrence of a piece, in surroundings that hold
     all but at most b of the item's distinct words; no other can match.
     """
-    out = []
-    lengths = np.array([len(s) for s in items.words], dtype=np.int64)
     for q, (hashes, item, offset, bits) in items.pieces.items():
         g = grams(h, q)
         at = np.flatnonzero(bits[(g >> U64(42)).astype(np.int64)])
@@ -216,8 +214,15 @@ def windows(items: Items, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
             continue
         hit = np.unique(np.stack([at[i] - offset[j], item[j], row[at[i]]], 1), axis=0)
         hit = hit[_share_words(items, hit, h, row)]
-        if not len(hit):
-            continue
+        if len(hit):
+            yield hit
+
+
+def windows(items: Items, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the item-sized windows that can be within the bound of some item: those about its ``places``."""
+    out = []
+    lengths = np.array([len(s) for s in items.words], dtype=np.int64)
+    for hit in places(items, h, row):
         start, n, b = hit[:, 0], lengths[hit[:, 1]], items.bound[hit[:, 1]]
         shift = 2 * b + 1
         k = np.repeat(np.arange(len(start)), shift)
@@ -239,10 +244,19 @@ class Candidates:
 
     texts: dict[int, np.ndarray]
     found: dict[int, list[tuple[int, int]]]  #: by length: (row, first word)
+    pairs: set[tuple[int, int, int]] = field(default_factory=set)  #: (row, first word, item) to verify, without walks
 
 
 def gather(items: Items, h: np.ndarray, row: np.ndarray, first: int, into: Candidates) -> None:
-    """Adds the windows of some rows, numbered from ``first``."""
+    """Adds the windows of some rows, numbered from ``first``, or their places if there are no walks."""
+    if not items.walks:
+        for hit in places(items, h, row):
+            lo, hi = np.searchsorted(row, hit[:, 2]), np.searchsorted(row, hit[:, 2], "right")
+            for s, i, r, a, b in zip(*hit.T.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                if first + r not in into.texts:
+                    into.texts[first + r] = h[a:b].copy()
+                into.pairs.add((first + r, max(0, s - a), i))
+        return
     start, length = windows(items, h, row)
     if not len(start):
         return
@@ -256,7 +270,7 @@ def gather(items: Items, h: np.ndarray, row: np.ndarray, first: int, into: Candi
 
 def find(items: Items, c: Candidates) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, first word, words) of every item found in each row."""
-    pairs: set[tuple[int, int, int]] = set()
+    pairs = set(c.pairs)
     for n, spots in c.found.items():
         for k in range(0, len(spots), 2048):
             part = spots[k : k + 2048]
@@ -321,7 +335,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
     inserted, deleted or replaced; words are compared without case and punctuation. The nearest
     part is given, the first of equally near ones. A part at the bound is found with a chance of
     ``recall`` at least, from which the number of CGK walks follows; nearer ones more surely, and
-    exact copies always. Items of fewer than 4 words, which stand in any text by chance, are found
+    exact copies always. With a ``recall`` of 1 there are no walks: every place that an exact test
+    leaves is verified, and nothing within the bound is missed. Items of fewer than 4 words, which stand in any text by chance, are found
     in documents that consist of nothing else.
 
     Null or wordless items and documents match nothing. Very long texts are searched whole, items

@@ -110,3 +110,44 @@ def test_pipeline(spark, tmp_path):
         share = min(total.values()) / n
         own = [size(r.text) for r in taken if r.source == s]
         assert abs(sum(own) - share * n) <= 120 and abs(len(own) - share * sum(r.source == s for r in left.values())) <= 1.5
+
+
+def test_no_near_copy_is_left(spark):
+    """The stage that keeps one of near copies, of more documents than a sampled bucket held."""
+    rng = random.Random(17)
+    voc = [f"w{k}" for k in range(5000)]
+    docs = [[rng.choice(voc) for _ in range(60)] for _ in range(900)]
+    docs += [[rng.choice(voc) if k < 11 else w for k, w in enumerate(d)] for d in docs]
+    texts = {i: " ".join(d) for i, d in enumerate(docs)}
+    left = corpus_pipeline.near(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "")
+    want = brute_near(texts)
+    assert len(want) < 1600 and {r.doc_id for r in left.collect()} == set(want)
+
+
+def test_no_item_at_the_edit_bound_is_left(spark, tmp_path):
+    rng = random.Random(18)
+    word = lambda: f"v{rng.randrange(4000)}"
+    items = [[word() for _ in range(rng.choice([4, 5, 11, 25, 40]))] for _ in range(300)]
+    docs = []
+    for x in items:
+        for more in (0, 1):  # as many edits as the bound allows, and one more
+            copy = list(x)
+            for _ in range(int(len(x) * decontaminate.RATE) + more):
+                at = rng.randrange(len(copy))
+                rng.choice([lambda: copy.pop(at), lambda: copy.insert(at, word()), lambda: copy.__setitem__(at, word())])()  # noqa: B023
+            docs.append([word() for _ in range(rng.choice([0, 3, 60]))] + copy + [word() for _ in range(rng.choice([0, 2, 50]))])
+    texts = {i: " ".join(d) for i, d in enumerate(docs)}
+    spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.benchmark(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), str(tmp_path))
+
+    def met(d, x):  # columns of the table of edit distances, a part of the document beginning anywhere
+        row = np.zeros(len(d) + 1, dtype=int)
+        step = np.arange(len(d) + 1)
+        for k, w in enumerate(x, 1):
+            best = np.concatenate(([k], np.minimum(row[1:] + 1, row[:-1] + np.array([v != w for v in d]))))
+            row = np.minimum.accumulate(best - step) + step
+        return row.min() <= int(len(x) * decontaminate.RATE)
+
+    # items share too few words for any but the planted one to be near
+    want = {k for k, d in enumerate(docs) if not met(d, items[k // 2])}
+    assert 100 <= len(want) <= 300 and {r.doc_id for r in left.collect()} == want

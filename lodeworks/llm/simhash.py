@@ -331,7 +331,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
     tiles of about ``tile`` by hash, each pair of tiles is a task, and within it bit-sliced
     comparison is confined to fingerprints that agree, but for a bit, in one of the disjoint
     ``blocks`` (by the pigeonhole principle no pair is lost). Few tiles share out the blocks over
-    several tasks; up to ``small`` fingerprints are all compared. A fingerprint is shuffled once for each tile, or for each block if that is more.
+    several tasks; up to ``small`` fingerprints are all compared. A fingerprint is shuffled once
+    for each tile and each task that shares in the blocks.
 
     Only with a ``recall`` below 1 are links lost: fingerprints then meet in bit-sampling tables,
     whose number follows from it. Sampled bits grow with the logarithm of the corpus up to

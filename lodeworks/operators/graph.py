@@ -146,12 +146,15 @@ def reachable_from(spark: SparkSession, seeds: DataFrame, edges: DataFrame, roun
     scratch = Scratch(spark)
     edges = scratch.write(edges.select("src", "dst"))
     seen = frontier = scratch.write(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    layers = [seen._scratch_path]
     for depth in range(1, rounds + 1):
         step = edges.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
         frontier = scratch.write(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        # one scan of all layers: a union of one scan each would make the plan of every round longer
+        layers.append(frontier._scratch_path)
+        seen = spark.read.schema(frontier.schema).parquet(*layers)
     else:
         raise RuntimeError(f"dependencies reach further than {rounds} steps")
     return seen

@@ -55,35 +55,80 @@ def reverse_dependencies(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("importers"))
 
 
-def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, root): root is the least id of the undirected component.
-
-    Alternating large-star and small-star steps, which settle in a number of rounds that grows
-    with the logarithm of the size of a component, until a round changes no edge.
+def _hashed(spark: SparkSession, scratch: Scratch, pairs: DataFrame, tries: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(id, h) of all ends and (u, v) of all pairs, by a 64-bit hash that no two ends share: another seed until that holds."""
+    for seed in range(tries):
+        number = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: E731, B023
+        ids = scratch.write(pairs.select(F.explode("ends").alias("id")).distinct().select("id", number(F.col("id")).alias("h")))
+        n, distinct = ids.agg(F.count("*"), F.count_distinct("h")).first()
+        if n == distinct:
+            return ids, scratch.write(pairs.select(number(F.col("ends")[0]).alias("u"), number(F.col("ends")[1]).alias("v")))
+        scratch.drop(ids)
+    raise RuntimeError("no hash tells all ids apart")
+
+
+def _roots(scratch: Scratch, pairs: DataFrame, hops: int = 64) -> DataFrame:
+    """(u, top): every node takes its least neighbour for parent; top is the root of its tree.
+
+    Parents form cycles of two nodes only, whose lesser is the root. Every tree has two nodes at least.
+    """
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    tree = scratch.write(both.groupBy("u").agg(F.min("v").alias("top")))
+    for hop in range(hops):
+        up = tree.select(F.col("u").alias("top"), F.col("top").alias("next"))
+        back = F.when(F.col("next") == F.col("u"), F.least("u", "top")).otherwise(F.col("top")) if not hop else F.col("next")
+        new = scratch.write(tree.join(up, "top").select("u", back.alias("top"), (F.lit(not hop) | (F.col("next") != F.col("top"))).alias("moved")))
+        scratch.drop(tree)
+        tree = new
+        if tree.where("moved").isEmpty():
+            return tree.select("u", "top")
+    raise RuntimeError("trees did not settle")
+
+
+def _joined(pairs: list) -> list:
+    """(u, top) of the ends of a few pairs, by union-find."""
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        top[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(top)]
+
+
+def components(spark: SparkSession, nodes: DataFrame | None, edges: DataFrame, rounds: int = 50, few: int = 1 << 16) -> DataFrame:
+    """(id, root): root is the least id of the undirected component; without ``nodes``, of the ends of edges.
+
+    Ids become 64-bit numbers. A round joins every node to its least neighbour, which at least halves the
+    nodes, and keeps the distinct edges between the trees so made; the last ``few`` edges are joined on the driver.
+    Edges need not be distinct. Only the first round handles all of them.
     """
     scratch = Scratch(spark)
-    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now = scratch.write(pairs)
-    seal = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = seal(now)
-    for _ in range(rounds if before[0] else 0):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # minima by partial aggregation, joined back, so that a hub's edges are never one task's
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.write(large)
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = scratch.write(small)
-        scratch.drop(now, large)
-        now, seen = after, seal(after)
-        if seen == before:
+    ids, now = _hashed(spark, scratch, edges.where("src <> dst").select(F.array("src", "dst").alias("ends")))
+    steps = []
+    for _ in range(rounds):
+        if len(last := now.limit(few + 1).collect()) <= few:
             break
-        before = seen
+        top = _roots(scratch, now)
+        steps.append(top)
+        near = now.join(top, "u").select(F.col("top").alias("a"), F.col("v").alias("u"))
+        far = near.join(top, "u").where("a <> top")
+        after = scratch.write(far.select(F.greatest("a", "top").alias("u"), F.least("a", "top").alias("v")).distinct())
+        scratch.drop(now)
+        now = after
     else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
-    return nodes.join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("root"))
+        raise RuntimeError("components did not settle")
+    whole = spark.createDataFrame(_joined(last), "u long, top long")
+    for step in reversed(steps):
+        whole = step.join(whole.select(F.col("u").alias("top"), F.col("top").alias("t")), "top", "left").select("u", F.coalesce("t", "top").alias("top"))
+    placed = scratch.write(ids.join(whole.withColumnRenamed("u", "h"), "h").select("id", "top"))
+    # minima by partial aggregation, joined back, so that a large component is never one task's
+    rooted = placed.join(placed.groupBy("top").agg(F.min("id").alias("root")), "top").select("id", "root")
+    return rooted if nodes is None else nodes.join(rooted, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def clusters(component: DataFrame, least: int = 2) -> DataFrame:

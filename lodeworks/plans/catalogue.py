@@ -46,10 +46,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILES = "(SELECT source || '/' || lang || '/doc_' || doc_id || '.md' AS path, n_chars AS char_count, text AS content, lang AS role, doc_id AS ord FROM documents)"
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of ``modules``, one for each line item."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+
+
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from each part to each supplier that delivers it."""
-    li = table(spark, sf_dir, "lineitem")
-    return graph.clean_edges(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")))
+    return graph.clean_edges(deliveries(spark, sf_dir))
 
 
 _EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), deg AS (SELECT id, (SELECT count(*) FROM edges e WHERE e.dst = n.id) AS in_degree, (SELECT count(*) FROM edges e WHERE e.src = n.id) AS out_degree FROM nodes n)"
@@ -210,8 +215,7 @@ reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p
 root AS (SELECT a, least(min(e.src), min(r.b)) AS root FROM reach r JOIN edges e ON e.dst = r.b GROUP BY a)
 SELECT n.id, min(root) AS root FROM nodes n LEFT JOIN edges e ON n.id = e.src JOIN root r ON r.a = coalesce(e.dst, n.id) GROUP BY n.id""")
 def graph_components(spark, sf_dir):
-    e = modules(spark, sf_dir)
-    return graph.components(spark, graph.nodes_of(e), e)
+    return graph.components(spark, None, deliveries(spark, sf_dir))
 
 
 @query(f"""
